@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, media_ts, minhash, mixing, packing, secret_scan, tokens, warc
+from . import embeddings, langid, media_ts, minhash, mixing, packing, secret_scan, suffixes, tokens, warc
 
 
 def vocabulary() -> str:
@@ -24,6 +24,10 @@ def op1_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.read_back(media_ts.stored(table(spark, sf_dir, "documents")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
