@@ -37,7 +37,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most
 
     The level L with sum(min(most * size, L * weight)) = total is found by prefix sums over the
     sources in order of most * size / weight: those before the first that stays below its
-    bound are at their bound."""
+    bound are at their bound.  Holding one more at its bound would only lower the level, so
+    it is the largest of the levels that agree with their own source."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(by_name) - 1) % len(weights)
     out = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1))
@@ -46,32 +47,33 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most
     before = by_bound.rowsBetween(Window.unboundedPreceding, -1)
     bound = F.lit(float(most)) * F.col("source_size")
     out = out.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum(bound).over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    out = out.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= bound, F.col("level"))).over(every))
+    out = out.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= bound, F.col("level"))).over(every))
     return out.withColumn("target", F.coalesce(F.least(bound, F.col("level") * F.col("weight")), F.lit(0.0))).drop("level")
 
 
-def planned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str = "mix_size", weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: str = "mix", chunk_rows: int = 2_000) -> DataFrame:
-    """``df`` with mix_size, mix_source_size, mix_target and mix_copies."""
-    rows = df if size_col in df.columns else df.withColumn(size_col, words(df[text_col]))
-    sums = rows.groupBy(rows[source_col].alias("source")).agg(F.sum(size_col).alias("source_size"), F.count("*").alias("n_rows"))
+def planned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: str = "mix", chunk_rows: int = 2_000) -> DataFrame:
+    """Each row of ``df`` as the struct ``row``, with size, source_size, target and copies.
+
+    ``size`` replaces the word count of ``text_col``."""
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].alias("id"), df[source_col].alias("source"), F.coalesce(F.concat(F.lit("s"), df[source_col]), F.lit("n")).alias("name"), (words(df[text_col]) if size is None else size).alias("size"))
+    sums = rows.groupBy("source", "name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     # the chunk size grows with the table, so there are never more than some thousands of chunks
     plan = targets(sums, weights, most).withColumn("chunks", F.ceil(F.col("n_rows") / F.greatest(F.lit(chunk_rows), F.floor(F.sum("n_rows").over(Window.partitionBy()) / 2000))))
-    keyed = rows.join(plan.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "chunks"), rows[source_col].eqNullSafe(F.col("mix_source")), "left")
-    keyed = keyed.withColumn("mix_chunk", F.floor(unit(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) * F.col("chunks")))
-    counts = keyed.groupBy("mix_source", "mix_chunk").agg(F.count("*").alias("n"))
-    line = Window.partitionBy("mix_source").orderBy("mix_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("mix_source").alias("s"), F.col("mix_chunk").alias("c"), F.coalesce(F.sum("n").over(line), F.lit(0)).alias("start"))
-    keyed = keyed.join(starts, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_chunk") == F.col("c")), "left")
-    within = Window.partitionBy("mix_source", "mix_chunk").orderBy(F.col(size_col).desc(), F.col(id_col))
+    keyed = rows.drop("source").join(plan.select("name", "source_size", "target", "chunks"), "name")
+    keyed = keyed.withColumn("chunk", F.floor(unit(F.coalesce(F.col("id").cast("string"), F.lit(""))) * F.col("chunks")))
+    counts = keyed.groupBy("name", "chunk").agg(F.count("*").alias("n"))
+    line = Window.partitionBy("name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("name", "chunk", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("start"))
+    keyed = keyed.join(starts, ["name", "chunk"])
+    within = Window.partitionBy("name", "chunk").orderBy(F.col("size").desc(), F.col("id"))
     rank = F.col("start") + F.row_number().over(within)
-    each = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
-    offset = unit(F.concat(F.coalesce(F.concat(F.lit("s"), F.col("mix_source")), F.lit("n")), F.lit(f"|{seed}")))
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    offset = unit(F.concat(F.col("name"), F.lit(f"|{seed}")))
     copies = F.floor(offset + rank * each) - F.floor(offset + (rank - 1) * each)
-    out = keyed.withColumn("mix_copies", F.least(copies, F.lit(int(most))).cast("long"))
-    return out.drop("mix_source", "mix_chunk", "chunks", "s", "c", "start")
+    return keyed.select("row", "size", "source_size", "target", F.least(copies, F.lit(int(most))).cast("long").alias("copies"))
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it."""
-    out = planned(df, **options).filter("mix_copies > 0")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*df.columns)
+    out = planned(df, **options).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

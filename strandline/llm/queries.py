@@ -58,9 +58,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("mix_size"))
-    out = mixing.planned(docs)
-    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    out = mixing.planned(docs, text_col="size", size=F.col("size"))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ SQL: dict[str, str] = {
         l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS lvl,
                      ceil(n / greatest(2000, floor(sum(n) OVER () / 2000))) AS chunks
               FROM s WINDOW b AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        t AS (SELECT *, least(3.0::DOUBLE * source_size, weight * min(CASE WHEN lvl * weight <= 3.0::DOUBLE * source_size THEN lvl END) OVER ()) AS target FROM l),
+        t AS (SELECT *, least(3.0::DOUBLE * source_size, weight * max(CASE WHEN lvl * weight <= 3.0::DOUBLE * source_size THEN lvl END) OVER ()) AS target FROM l),
         k AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.source,
                      floor(('0x' || substr(md5(d.doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE * t.chunks) AS chunk
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
