@@ -239,3 +239,15 @@ def identified(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, type=k) for c, k in zip(zip(*found), kinds))], names=names)
 
     return rows.mapInArrow(run, schema)
+
+
+def accepted_only(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text is accepted; all columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for whole in batches:
+            for b in slices(whole, text_col, 4 << 20):
+                yield b.filter(pa.array([ok for *_, ok in scorer.predict(text_list(b.column(text_col)))], type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
