@@ -251,6 +251,6 @@ def read_back(df: DataFrame, id_col: str = "doc_id", batch_bytes: int = 8 << 20)
                     s = demux(m)
                     rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), describe(m, s), s.continuity_errors, [{"pts": p, "packet": n, "random_access": k} for p, n, k in s.stamps]))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), stamp]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), *(pa.array(c, type=k) for c, k in zip(zip(*rows), kinds))], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("n_bytes"), *(pa.array(c, type=k) for c, k in zip(zip(*rows), kinds))], names=names)
 
     return df.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, continuity_errors bigint, stamps array<struct<pts:bigint,packet:bigint,random_access:boolean>>")
