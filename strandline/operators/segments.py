@@ -77,7 +77,7 @@ def assigned(messages: DataFrame, segs: DataFrame) -> DataFrame:
     """Messages with their seg_no: starts are flagged, a running sum numbers them."""
     starts = segs.select("conv_id", F.col("start_index").alias("index"), F.lit(1).alias("flag"))
     flagged = messages.join(starts, ["conv_id", "index"], "left")
-    return flagged.withColumn("seg_no", F.sum(F.coalesce("flag", F.lit(0))).over(signals.BY_TURN.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("flag")
+    return flagged.withColumn("seg_no", F.sum(F.coalesce("flag", F.lit(0))).over(signals.by_turn().rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("flag")
 
 
 # --- edits: each returns a new table

@@ -6,13 +6,14 @@ of their terms and both aggregations keep that partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
 
-BY_TURN = Window.partitionBy("conv_id").orderBy("index")
+def by_turn() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("index")
 
 
 def temporal_gap(before: Column, after: Column) -> Column:
@@ -24,11 +25,11 @@ def temporal_gap(before: Column, after: Column) -> Column:
 def context_windows(messages: DataFrame, size: int = R.WINDOW) -> DataFrame:
     """Adds toks, before and after (terms of the messages around each start), prev_text, prev_role."""
     out = messages.withColumn("toks", T.content_tokens(F.col("text")))
-    out = out.withColumn("before", F.flatten(F.collect_list("toks").over(BY_TURN.rowsBetween(-size, -1))))
-    out = out.withColumn("after", F.flatten(F.collect_list("toks").over(BY_TURN.rowsBetween(0, size - 1))))
+    out = out.withColumn("before", F.flatten(F.collect_list("toks").over(by_turn().rowsBetween(-size, -1))))
+    out = out.withColumn("after", F.flatten(F.collect_list("toks").over(by_turn().rowsBetween(0, size - 1))))
     for c in ("text", "role", "ts"):
         if c in messages.columns:
-            out = out.withColumn(f"prev_{c}", F.lag(c).over(BY_TURN))
+            out = out.withColumn(f"prev_{c}", F.lag(c).over(by_turn()))
     return out
 
 
