@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import built, thinned
 from .common import U64, byte_list, mix64, slices, written
 from .graph import components
 from .shingles import shingle_set
@@ -207,7 +208,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = max(16, min(4096, rows // 2_000))
     classes = table.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = table.join(classes, "set_key").filter("id = rep").dropDuplicates(["set_key"])
-    groups = components(candidates(reps, parts)).select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    groups = written(components(candidates(reps, parts)).select(F.col("node").alias("id"), F.col("component").alias("grp")))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
     placed = groups.join(sizes, "grp").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
@@ -219,6 +220,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tasks = max(8, rows // task_docs)
     placed = placed.withColumn("task", F.when(F.col("alone"), F.col("grp")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(tasks))))
     text = df.select(df[id_col].cast("long").alias("doc"), df[text_col].alias("text")).filter(F.col("text").isNotNull())
+    # only texts of candidates are shuffled
+    text = thinned(text, "doc", built(groups.select("id"), groups.count()))
     members = placed.join(text, placed.id == text.doc).select("task", "grp", "id", "text")
     found = components(links(members, width, num, den))
     named = classes.join(found, classes.rep == found.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"), "rep", "copies")
