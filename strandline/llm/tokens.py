@@ -59,18 +59,16 @@ def scan(maps: Sequence[ChunkMap], join: Callable[[ChunkMap, ChunkMap], ChunkMap
 BLANK = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Code points that Python's Unicode tables do not know: the library may class them
-    differently, so it tokenizes the rare texts that hold one."""
-    runs, start = [], None
-    for cp in range(0x110001):
-        if cp < 0x110000 and unicodedata.category(chr(cp)) == "Cn":
-            start = cp if start is None else start
-        elif start is not None:
-            runs.append(rf"\U{start:08x}-\U{cp - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(runs)}]")
+class Known(set):
+    """Code points met so far that Python's Unicode tables know.  The library may class the
+    others differently, so it tokenizes the rare texts that hold one."""
+
+    def sure(self, text: str) -> bool:
+        if new := set(text) - self:
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return False
+            self |= new
+        return True
 
 
 class Transducer:
@@ -95,7 +93,10 @@ class Transducer:
         #: on ASCII text the library's pattern needs no Unicode classes
         self.ascii = re.compile(cut.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
         self.whole = Tokenizer.from_file(path)
-        self.unsure = unassigned()
+        self.known_letters = Known()
+        ends = [i for word, i in spec["model"]["vocab"].items() if word.endswith("</w>")]
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+        self.ends[ends] = True
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.max_states = max_states
@@ -105,10 +106,17 @@ class Transducer:
     def compile(self, words: set[str]) -> None:
         """Adds the transitions of new pre-tokens, with their emitted ids, in one batch."""
         new = list(words)
-        for word, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            ids = coded.ids
-            self.final[word] = array("I", ids).tobytes()
-            self.count[word] = len(ids)
+        for at in range(0, len(new), 4_000):
+            part = new[at : at + 4_000]
+            # a blank ends a pre-token whatever stands on its sides; each ends in a token with the end mark
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(part):
+                raise ValueError("a pre-token without an end mark")
+            start = np.concatenate([[0], stop[:-1]])
+            raw = ids.tobytes()
+            self.final.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(start.tolist(), stop.tolist())]))
+            self.count.update(zip(part, (stop - start).tolist()))
 
     def known(self, cut: list[list[str]], kept: dict) -> None:
         new: set[str] = set()
@@ -177,7 +185,7 @@ class Transducer:
         """Token counts of texts; those above ``chunk_chars`` letters go by chunk maps."""
         out, cut, whose = [0] * len(texts), [], []
         for i, text in enumerate(texts):
-            if not text.isascii() and self.unsure.search(text):
+            if not text.isascii() and not self.known_letters.sure(text):
                 out[i] = len(self.whole.encode(text, add_special_tokens=False).ids)
                 continue
             for part in self.parts(text):
@@ -196,7 +204,7 @@ class Transducer:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of texts as little-endian unsigned 32-bit arrays."""
-        odd = {i: self.whole.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if not t.isascii() and self.unsure.search(t)}
+        odd = {i: self.whole.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if not t.isascii() and not self.known_letters.sure(t)}
         texts = ["" if i in odd else t for i, t in enumerate(texts)]
         parts = [[p if isinstance(p, int) else self.words(p) for p in self.parts(t)] for t in texts]
         self.known([p for ps in parts for p in ps if not isinstance(p, int)], self.final)
