@@ -1 +1,176 @@
-"""To be filled."""
+"""Queries of format detection and parsers."""
+
+from __future__ import annotations
+
+import json
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import rules as R
+from ..functions.dialect import any_sql, trim_sql
+from ..operators import titles, tree
+from ..sources import parse, scan
+from .documents import _docs
+from .fixtures import TEXTS_SQL, inline, inline_sql, messages, texts
+from .registry import register
+
+TREE = [{"id": "c1", "title": "Tree", "current_node": "d", "create_time": 1700000000.5, "mapping": {
+    "a": {"id": "a", "parent": None, "message": None},
+    "b": {"id": "b", "parent": "a", "message": {"author": {"role": "user"}, "content": {"content_type": "text", "parts": ["Hello there"]}}},
+    "x": {"id": "x", "parent": "a", "message": {"author": {"role": "user"}, "content": {"parts": ["other branch"]}}},
+    "c": {"id": "c", "parent": "b", "message": {"author": {"role": "assistant"}, "content": {"content_type": "code", "parts": ["print(1)"]}}},
+    "d": {"id": "d", "parent": "c", "message": {"author": {"role": "user"}, "content": {"parts": [{"asset_pointer": "p"}, "see image"]}}},
+}}, {"id": "c2", "mapping": {"1": {"id": "1", "message": {"author": {"role": "user"}, "content": {"text": "only text"}}}, "2": {"id": "2", "message": {"author": {"role": "system"}, "content": {"parts": ["s"]}}}}}]
+FLAT = {"uuid": "f1", "name": "Flat", "chat_messages": [
+    {"sender": "human", "text": "Question one?"},
+    {"sender": "assistant", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "Answer"}, {"type": "tool_use"}]},
+    {"sender": "system", "text": "x"}, {"sender": "human", "text": " "},
+]}
+INPUTS = [
+    (1, json.dumps(TREE), None),
+    (2, json.dumps(FLAT), None),
+    (3, "You said:\nhow are you\nChatGPT said:\nThought for 5s\nfine\n```\nYou said:\n```\nYou said:\nbye\nChatGPT said:\nbye", None),
+    (4, "Human: hi\nthere\nAssistant: hello\nHuman:\nbye", None),
+    (5, "first question\nJan 5\nAnswer one.\n\n- list\n\nnext question\nFeb 6\nAnswer two", None),
+    (6, "ask this\nThought for 12s\nAnswer here\n\n**bold** part\n\nand what now?\nThought for 3s\nlast", None),
+    (7, "## User\nq1\n## Assistant\na1", None),
+    (8, "# A\none two three four five six seven eight nine ten\n# B\none two three four five six seven eight nine ten", None),
+    (9, "\n\n".join(f"para {i} with several words in it" for i in range(7)), None),
+    (10, "short note", None),
+    (11, "{not json", None),
+    (12, "short note", "claude"),
+    (13, "# A\none two three four five six seven eight nine ten\n# B\none two three four five six seven eight nine ten", "chatgpt"),
+    (14, "**User:** hi\n**Assistant:** hello you", None),
+    (15, '{"a": 1}', None),
+]
+_SCHEMA = "input_id bigint, content string, override string"
+
+
+def _inputs(spark, *only: int) -> DataFrame:
+    return inline(spark, [r for r in INPUTS if not only or r[0] in only], _SCHEMA)
+
+
+_NAMES = {"chatgpt_json": "chatgpt", "claude_json": "claude"}
+_FENCE_SQL = r"'(?m)^```[^\n]*\n(?s:.*?)^```\s*$|^~~~[^\n]*\n(?s:.*?)^~~~\s*$'"
+_LINES = f"string_split({trim_sql('t')}, chr(10))"
+_ANY = lambda p: f"len(list_filter({_LINES}, lambda x: {p.test_sql(trim_sql('x'))})) > 0"
+_JSON_SQL = f"try_cast({trim_sql('t')} AS JSON)"
+_HAS = lambda name, kind: f"json_type({_JSON_SQL}, CASE WHEN json_type({_JSON_SQL}) = 'ARRAY' THEN '$[0].{name}' ELSE '$.{name}' END) = '{kind}'"
+_T = trim_sql("t")
+_DETECT_SQL = " ".join(
+    [
+        f"WITH i AS (SELECT input_id::BIGINT AS id, content AS t FROM {inline_sql([r[:2] for r in INPUTS], 'input_id, content')} UNION ALL SELECT * FROM {TEXTS_SQL})",
+        f"SELECT id, CASE WHEN left({_T}, 1) IN ('{{', '[') THEN CASE WHEN {_HAS('mapping', 'OBJECT')} THEN 'chatgpt_json' WHEN {_HAS('chat_messages', 'ARRAY')} THEN 'claude_json' ELSE 'markdown' END",
+        f"WHEN {_ANY(R.USER_LABEL_A)} AND {_ANY(R.REPLY_LABEL_A)} THEN 'chatgpt_paste' WHEN {_ANY(R.USER_LABEL_B)} AND {_ANY(R.REPLY_LABEL_B)} THEN 'claude_paste'",
+        f"WHEN NOT {R.LABEL_B.test_sql(_T)} AND len(list_filter(string_split(regexp_replace({_T}, {_FENCE_SQL}, '', 'g'), chr(10)), lambda x: {R.DATE_STAMP.test_sql(trim_sql('x'))})) >= 2 THEN 'claude_web'",
+        f"WHEN {R.THOUGHT.test_sql(_T)} THEN 'chatgpt_thought' ELSE 'markdown' END AS format FROM i",
+    ]
+)
+register(
+    "detect_format",
+    lambda spark, sf: _inputs(spark).select(F.col("input_id").alias("id"), F.col("content").alias("t")).unionAll(texts(spark, sf)).select("id", parse.detect_format(F.col("t")).alias("format")),
+    _DETECT_SQL,
+)
+for _name, _only in {"parse_inputs": (), "parse_chatgpt_json": (1,), "parse_claude_json": (2,), "parse_chatgpt_paste": (3,), "parse_claude_paste": (4,), "parse_claude_web": (5,), "parse_chatgpt_unlabeled": (6,), "parse_markdown": (7, 8, 9, 10, 14), "source_override": (12, 13)}.items():
+    register(_name, lambda spark, sf, o=_only: parse.parsed_messages(_inputs(spark, *o)))
+register("parse_documents", lambda spark, sf: parse.parsed_messages(_docs(spark, sf).select(F.col("id").alias("input_id"), F.col("t").alias("content"), F.lit(None).cast("string").alias("override"))).select("input_id", "index", "content_type", F.md5("text").alias("digest")))
+register("list_conversations", lambda spark, sf: _listed(_inputs(spark, 1)))
+
+
+def _listed(inputs: DataFrame) -> DataFrame:
+    """id, title and node count of each conversation of a tree export, by JSON functions alone."""
+    kind = "array<struct<id:string,title:string,mapping:map<string,string>>>"
+    rows = inputs.select(F.explode(F.from_json("content", kind)).alias("c"))
+    return rows.select(F.coalesce("c.id", F.lit("")).alias("id"), F.coalesce(F.nullif("c.title", F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce(F.size(F.map_keys("c.mapping")), F.lit(0)).alias("n_nodes"))
+
+
+register(
+    "mask_code",
+    lambda spark, sf: texts(spark, sf).select("id", parse.masked(F.col("t")).alias("value")),
+)
+register("content_blocks", lambda spark, sf: parse.parsed_messages(inline(spark, [(1, "before\n```python\n  x = 1\n```\nafter\n~~~\ny\n~~~", None)], _SCHEMA)).select("index", "blocks"))
+
+# --- tree walk: pointer doubling against a recursive query
+NODES = [("t1", "a", None), ("t1", "b", "a"), ("t1", "c", "b"), ("t1", "x", "a"), *[("t2", str(i), str(i - 1) if i else None) for i in range(150)], ("t3", "p", "q"), ("t3", "q", None)]
+LEAVES = [("t1", "c"), ("t2", "149"), ("t3", "p")]
+register(
+    "tree_walk",
+    lambda spark, sf: tree.walk(inline(spark, NODES, "conv_id string, node_id string, parent_id string"), inline(spark, LEAVES, "conv_id string, node_id string")),
+    f"""WITH RECURSIVE n AS {inline_sql(NODES, 'conv_id, node_id, parent_id')}, w AS (SELECT conv_id, node_id, 0 AS depth FROM {inline_sql(LEAVES, 'conv_id, node_id')}
+        UNION ALL SELECT w.conv_id, n.parent_id, depth + 1 FROM w JOIN n ON w.conv_id = n.conv_id AND w.node_id = n.node_id WHERE n.parent_id IS NOT NULL) SELECT * FROM w""",
+)
+# --- last run of user-like paragraphs: a window against the fold of the parser
+_PARAS = [(i, j, p) for i, ps in enumerate([["# head", "one", "two"], ["plain", "also plain"], ["x", "- item"], ["**b**", "q?"]]) for j, p in enumerate(ps)]
+register(
+    "trailing_run",
+    lambda spark, sf: _trailing(inline(spark, _PARAS, "id bigint, pos int, p string")),
+    f"SELECT id::BIGINT AS id, coalesce(max(pos) FILTER ({any_sql(R.NOT_USER, 'p')}) + 1, 0) AS user_start FROM {inline_sql(_PARAS, 'id, pos, p')} GROUP BY id",
+)
+
+
+def _trailing(rows: DataFrame) -> DataFrame:
+    from ..functions.dialect import any_of
+
+    return rows.groupBy("id").agg(F.coalesce(F.max(F.when(any_of(R.NOT_USER, F.col("p")), F.col("pos"))) + 1, F.lit(0)).alias("user_start"))
+
+
+# --- files
+
+
+def _scan_text(spark, sf: str) -> DataFrame:
+    from ..sources.shared import scratch
+
+    at = scratch(spark, "text")
+    inline(spark, [(t,) for _, t, _ in INPUTS[2:5]], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\u0001").text(at)
+    return scan.text_files(spark, at).select(F.explode(F.filter(F.split("content", "\u0001"), lambda x: x != "")).alias("content")).select("content", F.length("content").alias("n"))
+
+
+def _zipped() -> bytes:
+    with tempfile.TemporaryDirectory() as d:
+        path = os.path.join(d, "x.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("user.json", "{}")
+            z.writestr("export/conversations.json", INPUTS[1][1])
+        with open(path, "rb") as f:
+            return f.read()
+
+
+register("scan_text", _scan_text)
+register("scan_zip", lambda spark, sf: scan.zip_files(inline(spark, [("x.zip", _zipped())], "path string, content binary")))
+
+# --- titles and lists of conversations
+_TALKS = [
+    (-1, 0, "user", "Postgres vs MySQL for analytics?"), (-1, 1, "assistant", "Sure, both work."),
+    (-2, 0, "user", "Can you explain how vector indexes work? thanks"), (-2, 1, "assistant", "## Inverted file indexes explained\nI recommend HNSW for most cases, overall it works well.\n\n**The main point is recall**"),
+    (-3, 0, "user", "i like Antigua, Barbados and New York City"), (-3, 1, "assistant", "Here's a short overview of places. Ask me."),
+    (-4, 0, "user", "ok"), (-5, 0, "assistant", "Nothing was asked here at all today"),
+]
+
+
+def _described(spark, sf: str) -> DataFrame:
+    rows = inline(spark, _TALKS, "conv_id bigint, index int, role string, text string").unionByName(messages(spark, sf))
+    return titles.described(rows, ["conv_id"])
+
+
+for _name, _columns in {"titles": ["title"], "entities": ["entities"], "tags": ["tags"], "questions": ["questions"], "topics": ["topics"], "takeaways": ["takeaways"]}.items():
+    register(_name, lambda spark, sf, c=_columns: _described(spark, sf).select("conv_id", *c))
+_FILLED = ["Can you please help me find the best hotels", "ok so let's break down the budget", "what about the visa?", "tell me about it if you want to", "plain text"]
+
+
+def _mapped(spark, f, rows: list) -> DataFrame:
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"t": b["t"], "value": [str(f(x)) for x in b["t"]]})
+
+    return inline(spark, [(x,) for x in rows], "t string").mapInPandas(run, "t string, value string")
+
+
+register("strip_filler", lambda spark, sf: _mapped(spark, titles.strip_filler, _FILLED))
+register("topic_kernel", lambda spark, sf: _mapped(spark, titles.topic_kernel, _FILLED))
+register("fuzzy_match", lambda spark, sf: _mapped(spark, lambda x: titles.fuzzy_match(*x.split("|")), ["carriibbean|caribbean", "barbados|barbado", "cat|dog", "planning|plans", "antigua|antiqua"]))
