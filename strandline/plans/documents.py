@@ -9,7 +9,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions.dialect import trim, trim_sql
 from .fixtures import MESSAGES_SQL, TEXTS_SQL, inline, inline_sql, joined, joined_sql, messages, texts
-from .registry import read, register
+from .base import read, register
 from .relations import ALL_MESSAGES_SQL, ASSIGNED_SQL, all_messages, assigned
 
 # --- document sections and paragraph groups

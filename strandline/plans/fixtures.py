@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import quoted
-from .registry import read
+from .base import read
 
 TEXTS = (
     "",

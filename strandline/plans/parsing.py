@@ -16,7 +16,7 @@ from ..operators import titles, tree
 from ..sources import parse, scan
 from .documents import _docs
 from .fixtures import TEXTS_SQL, inline, inline_sql, messages, texts
-from .registry import register
+from .base import register
 
 TREE = [{"id": "c1", "title": "Tree", "current_node": "d", "create_time": 1700000000.5, "mapping": {
     "a": {"id": "a", "parent": None, "message": None},

@@ -11,7 +11,7 @@ from ..functions.dialect import quoted
 from ..operators import segments as S
 from ..operators import signals
 from .fixtures import MESSAGES_SQL, inline, inline_sql, joined, joined_sql, messages
-from .registry import read, register
+from .base import read, register
 
 # --- inline conversations: long enough for every preset, English cues, ties
 
@@ -300,3 +300,36 @@ def _validated(parsed: DataFrame, n: int) -> DataFrame:
     """Replies are taken whole or not at all."""
     ok = F.col("start_index").between(0, n - 1) & F.col("end_index").between(0, n - 1) & (F.col("start_index") <= F.col("end_index"))
     return parsed.groupBy("id").agg(F.min(ok).alias("valid"))
+
+
+# --- sessions by the same half-hour rule, and the optional model path with a canned model
+def _sessions(spark, sf: str) -> DataFrame:
+    from ..streaming.sessions import sessions
+
+    return sessions(read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_events")
+
+
+register(
+    "sessions",
+    _sessions,
+    """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events FROM s GROUP BY user_id, k""",
+)
+
+
+def canned(prompt: str) -> str:
+    """Stands for a model: one segment from the first to the last message it is shown."""
+    import re
+
+    shown = re.findall(r"^\[(\d+)\] (?:user|assistant|system):", prompt, re.M)
+    return "" if len(shown) < 3 else f'Here: [{{"startIndex": {shown[0]}, "endIndex": {shown[-1]}, "title": "All", "confidence": 0.7}}]'
+
+
+def _model(spark, sf: str) -> DataFrame:
+    from ..operators.model_segments import segmented
+
+    return segmented(all_messages(spark, sf), canned).select("conv_id", "seg_no", "start_index", "end_index", "method")
+
+
+register("llm_segments", _model)

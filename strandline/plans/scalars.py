@@ -11,7 +11,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions.dialect import any_of, any_sql, steps, steps_sql, trim, trim_sql
 from .fixtures import TEXTS_SQL, joined, joined_sql, texts
-from .registry import read, register
+from .base import read, register
 
 
 def scalar(name: str, column: Callable[[Column], Column], sql: Callable[[str], str]) -> None:
