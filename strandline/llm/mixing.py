@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most
     return out.withColumn("target", F.coalesce(F.least(bound, F.col("level") * F.col("weight")), F.lit(0.0))).drop("level")
 
 
-def planned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: str = "mix", chunk_rows: int = 2_000) -> DataFrame:
+def planned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: str = "mix", chunk_rows: int = 2_000, broadcast_sources: int = 10_000) -> DataFrame:
     """Each row of ``df`` as the struct ``row``, with size, source_size, target and copies.
 
     ``size`` replaces the word count of ``text_col``."""
@@ -59,14 +59,18 @@ def planned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sums = rows.groupBy("source", "name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     # the chunk size grows with the table, so there are never more than some thousands of chunks
     plan = targets(sums, weights, most).withColumn("chunks", F.ceil(F.col("n_rows") / F.greatest(F.lit(chunk_rows), F.floor(F.sum("n_rows").over(Window.partitionBy()) / 2000))))
-    keyed = rows.drop("source").join(plan.select("name", "source_size", "target", "chunks"), "name")
+    plan = plan.select("name", "source_size", "target", "chunks")
+    # few sources, as counted here, meet the rows by broadcast; many by a shuffle, which AQE splits where skewed
+    few = rows.select("name").distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
+    keyed = rows.drop("source").join(F.broadcast(plan) if few else plan, "name")
     keyed = keyed.withColumn("chunk", F.floor(unit(F.coalesce(F.col("id").cast("string"), F.lit(""))) * F.col("chunks")))
     counts = keyed.groupBy("name", "chunk").agg(F.count("*").alias("n"))
     line = Window.partitionBy("name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("name", "chunk", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("start"))
-    keyed = keyed.join(starts, ["name", "chunk"])
     within = Window.partitionBy("name", "chunk").orderBy(F.col("size").desc(), F.col("id"))
-    rank = F.col("start") + F.row_number().over(within)
+    # the rows are ranked in their chunks before they meet the starts: one shuffle of them whatever the join
+    keyed = keyed.withColumn("place", F.row_number().over(within)).join(starts, ["name", "chunk"])
+    rank = F.col("start") + F.col("place")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = unit(F.concat(F.col("name"), F.lit(f"|{seed}")))
     copies = F.floor(offset + rank * each) - F.floor(offset + (rank - 1) * each)
