@@ -8,8 +8,8 @@ language with the lowest cross-entropy per letter; ``score`` is the share of tha
 the softmax of the entropies.  A document is accepted unless its entropy lies far beyond what
 the training documents of its language show at that length (``calibrated`` below).
 
-Training takes a bounded sample: about ``sample_rows`` documents a language by id digest, the
-first ``sample_chars`` letters of each.  Prediction reads every whole text and uses nothing
+Training takes a bounded sample: about ``sample_rows`` documents a language by a digest, the
+first ``sample_chars`` letters of each, of the ``most_langs`` most frequent languages.  Prediction reads every whole text and uses nothing
 but the text.  Texts that are null, empty or without letters are ``und`` with score 0 and are
 rejected; ties go to the language that sorts first.
 """
@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, slices, text_list
-from .mixing import unit
+from .common import U64, mix64, slices, text_list, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 EDGE = 32
@@ -208,13 +207,17 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 300, sample_chars: int = 8_000, order: int = 5) -> Model:
+def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 300, sample_chars: int = 8_000, order: int = 5, most_langs: int = 200) -> Model:
     """Models from a bounded sample of the labelled documents that are not held out."""
     rows = df.filter(df[lang_col].isNotNull() & df[text_col].isNotNull() & ~held_out(df[id_col]))
-    sizes = rows.groupBy(rows[lang_col].alias("k")).agg(F.count("*").alias("n"))
-    rows = rows.select(rows[lang_col].alias("lang"), F.coalesce(rows[id_col].cast("string"), F.lit("")).alias("id"), F.substring(rows[text_col], 1, sample_chars).alias("t"))
-    picked = rows.join(sizes, F.col("lang") == F.col("k")).filter(unit(F.concat(F.lit("lang|"), F.col("id"))) < F.lit(float(sample_rows)) / F.col("n"))
-    found = sorted((r.lang, r.t) for r in picked.select("lang", "t").collect())
+    sizes = rows.groupBy(rows[lang_col].alias("k")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "k").limit(most_langs).collect()
+    if not sizes:
+        return estimate({}, order)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.k, sample_rows / r.n)])
+    # the same rows for the same table: a digest of id and text decides
+    chance = F.pmod(F.xxhash64(F.lit("lang"), rows[id_col], rows[text_col]), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.filter(chance < F.element_at(share, rows[lang_col])).select(rows[lang_col].alias("lang"), F.substring(rows[text_col], 1, sample_chars).alias("t"))
+    found = sorted((r.lang, r.t) for r in picked.limit(4 * sample_rows * len(sizes)).collect())
     counts: dict[str, Counter] = {}
     for lang, text in found:
         if words := WORD.findall(text.lower()):
@@ -237,6 +240,7 @@ def identified(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[
                 columns = [b.column(c) for c in kept] + [b.column("__text")] * (text_col in keep)
                 names = kept + [text_col] * (text_col in keep) + ["lang_pred", "score", "entropy", "accepted"]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, type=k) for c, k in zip(zip(*found), kinds))], names=names)
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
@@ -249,5 +253,6 @@ def accepted_only(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
         for whole in batches:
             for b in slices(whole, text_col, 4 << 20):
                 yield b.filter(pa.array([ok for *_, ok in scorer.predict(text_list(b.column(text_col)))], type=pa.bool_()))
+        tidy()
 
     return df.mapInArrow(run, df.schema)

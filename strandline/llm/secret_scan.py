@@ -7,8 +7,8 @@ log-likelihood ratio passes both a total and a rate becomes a span of kind ``ran
 
 The models are trained from labelled samples: random strings (base hits of the sample and
 generated ones) against identifiers (words of the sample outside base hits, alone and joined
-as identifiers are).  The sample is bounded: ``sample_rows`` documents with the smallest id
-digests, ``sample_chars`` letters of each.  Scanning itself reads every whole text.
+as identifiers are).  The sample is bounded: about ``sample_rows`` documents chosen by a
+digest, ``sample_chars`` letters of each.  Scanning itself reads every whole text.
 
 Null and empty texts have no spans; positions count code points, ends are exclusive.
 """
@@ -129,8 +129,12 @@ def labelled(texts: list[str], seed: int = 7, made: int = 4_000) -> tuple[list[s
 
 def learned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400, sample_chars: int = 4_000) -> Models:
     """Models trained on the bounded sample."""
-    top = df.filter(df[text_col].isNotNull()).select(F.xxhash64(df[id_col]).alias("h"), F.substring(df[text_col], 1, sample_chars).alias("t")).orderBy("h", "t").limit(sample_rows)
-    return train(*labelled([r.t for r in top.collect()]))
+    rows = df.filter(df[text_col].isNotNull()).select(df[id_col].alias("id"), df[text_col].alias("t"))
+    n = rows.count()
+    # a digest of id and text decides, so the same table gives the same sample
+    chance = F.pmod(F.xxhash64(F.lit("secret"), "id", "t"), F.lit(1 << 30)) / float(1 << 30)
+    top = rows.filter(chance < sample_rows / max(1, n)).select(F.substring("t", 1, sample_chars).alias("t")).limit(4 * sample_rows)
+    return train(*labelled(sorted(r.t for r in top.collect())))
 
 
 def scan(text: str, models: Models | None) -> list[Span]:
