@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .bloom import built, thinned
 from .common import U64, byte_list, mix64, slices, written
 from .graph import components
-from .shingles import shingle_set
+from .shingles import forget, shingle_set
 
 UNIVERSE_BITS = 20
 ROWS, BANDS = 5, 28  # a pair of similarity 0.8 shares no band in 1.3e-5 of all cases, of 0.85 in 7e-8
@@ -46,7 +46,7 @@ def shifted(coordinates: int, seed: int = 11) -> np.ndarray:
     """Row p holds the second permutation at p, p + 1, ..., circularly."""
     places = 1 << UNIVERSE_BITS
     order = np.argsort(mix64(np.arange(places, dtype=U64) + U64(seed << 40)), kind="stable").astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[:coordinates]]), coordinates)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: coordinates - 1]]), coordinates)
 
 
 def signature(shingles: np.ndarray, coordinates: int = ROWS * BANDS) -> np.ndarray:
@@ -89,6 +89,7 @@ def features(df: DataFrame, id_col: str, text_col: str, width: int, batch_bytes:
                         key.append(None)
                         band.append(None)
                 yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(size, type=pa.int64()), pa.array(key, type=pa.binary()), pa.array(band, type=pa.binary())], names=["id", "n_shingles", "set_key", "bands"])
+        forget()
 
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, FEATURES)
 
@@ -195,6 +196,7 @@ def links(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 u, v = int(ids[here[p]]), int(ids[here[q]])
                 a.append(max(u, v))
                 b.append(min(u, v))
+        forget()
         return pa.Table.from_batches([pairs(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))])
 
     return members.groupBy("task").applyInArrow(run, PAIRS)
@@ -228,4 +230,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = named.filter("copies > 1 or component <> rep").select("set_key", "component")
     out = table.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     kind = df.schema[id_col].dataType
+    out = out.withColumn("component", F.when(F.col("id").isNotNull(), F.col("component")))
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.coalesce("component", "id").cast(kind).alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -122,6 +122,7 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     ids.append(key)
                     held.append(np.append(coded, np.uint32(end_id)).astype(np.uint16 if len(coded) == 0 or coded.max() < 65536 else np.uint32))
                     tokens += len(coded) + 1
+        machine.forget()
         yield from flush()
 
     narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))

@@ -9,13 +9,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import U64, mix64
+from .common import U64, mix64, tidy
 
 
 class Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    most = 400_000
+    most = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -27,6 +27,12 @@ class Words(dict):
 _known = Words()
 
 
+def forget() -> None:
+    """Drops the words at the end of a task."""
+    _known.clear()
+    tidy()
+
+
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a UTF-8 text; empty without words."""
     # bytes.split and bytes.lower know ASCII only: just the words and letters wanted here

@@ -22,7 +22,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, text_list
+from .common import slices, text_list, tidy
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,7 @@ class Transducer:
         self.pattern = regex.compile(cut)
         #: on ASCII text the library's pattern needs no Unicode classes
         self.ascii = re.compile(cut.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.known_letters = Known()
         ends = [i for word, i in spec["model"]["vocab"].items() if word.endswith("</w>")]
         self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
@@ -101,7 +101,18 @@ class Transducer:
         self.marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.max_states = max_states
         self.final: dict[str, bytes] = {}
-        self.count: dict[str, int] = {}
+
+    @cached_property
+    def whole(self):
+        """The library on whole texts, for the rare ones that it classes by newer tables."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def forget(self) -> None:
+        """Drops the transitions; the next task meets other words."""
+        self.final = {}
+        tidy()
 
     def compile(self, words: set[str]) -> None:
         """Adds the transitions of new pre-tokens, with their emitted ids, in one batch."""
@@ -116,16 +127,14 @@ class Transducer:
             start = np.concatenate([[0], stop[:-1]])
             raw = ids.tobytes()
             self.final.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(start.tolist(), stop.tolist())]))
-            self.count.update(zip(part, (stop - start).tolist()))
 
-    def known(self, cut: list[list[str]], kept: dict) -> None:
+    def known(self, cut: list[list[str]]) -> None:
         new: set[str] = set()
         for words in cut:
             new.update(words)
-        if missing := new - kept.keys():
+        if missing := new - self.final.keys():
             if len(self.final) + len(missing) > self.max_states:
                 self.final.clear()
-                self.count.clear()
                 missing = new
             self.compile(missing)
 
@@ -171,8 +180,8 @@ class Transducer:
 
     def emitted(self, text: str) -> int:
         words = self.words(text)
-        self.known([words], self.count)
-        return sum(map(self.count.__getitem__, words))
+        self.known([words])
+        return sum(map(len, map(self.final.__getitem__, words))) // 4
 
     def chunked(self, text: str, size: int) -> int:
         """Tokens of normalised text by composing the maps of ``size``-letter chunks."""
@@ -196,10 +205,10 @@ class Transducer:
                 elif part:
                     cut.append(self.words(part))
                     whose.append(i)
-        self.known(cut, self.count)
-        get = self.count.__getitem__
+        self.known(cut)
+        get = self.final.__getitem__
         for i, words in zip(whose, cut):
-            out[i] += sum(map(get, words))
+            out[i] += sum(map(len, map(get, words))) // 4
         return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -207,7 +216,7 @@ class Transducer:
         odd = {i: self.whole.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if not t.isascii() and not self.known_letters.sure(t)}
         texts = ["" if i in odd else t for i, t in enumerate(texts)]
         parts = [[p if isinstance(p, int) else self.words(p) for p in self.parts(t)] for t in texts]
-        self.known([p for ps in parts for p in ps if not isinstance(p, int)], self.final)
+        self.known([p for ps in parts for p in ps if not isinstance(p, int)])
         get = self.final.__getitem__
         return [
             np.array(odd[i], dtype="<u4") if i in odd else np.frombuffer(b"".join(array("I", [p]).tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in ps), dtype="<u4")
@@ -231,6 +240,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 n = np.asarray(machine.counts(text_list(b.column("text"))), dtype=np.int64)
                 size = pc.binary_length(b.column("text")).fill_null(0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("id"), size, pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+        machine.forget()
 
     narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     return narrow.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
