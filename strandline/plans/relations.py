@@ -124,13 +124,13 @@ register(
     "temporal_gap",
     lambda spark, sf: _gaps(read(spark, sf, "events")),
     """WITH g AS (SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS us FROM events)
-       SELECT event_id, user_id, round(CASE WHEN us / 60000000.0::DOUBLE >= 30 THEN least(1.0::DOUBLE, us / 60000000.0::DOUBLE / 120) ELSE 0.0::DOUBLE END, 9) AS gap_score FROM g""",
+       SELECT event_id, user_id, CASE WHEN us / 60000000.0::DOUBLE >= 30 THEN least(1.0::DOUBLE, us / 60000000.0::DOUBLE / 120) ELSE 0.0::DOUBLE END AS gap_score FROM g""",
 )
 
 
 def _gaps(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select("event_id", "user_id", F.round(F.coalesce(signals.temporal_gap(F.lag("ts").over(w).cast("timestamp"), F.col("ts").cast("timestamp")), F.lit(0.0)), 9).alias("gap_score"))
+    return events.select("event_id", "user_id", F.coalesce(signals.temporal_gap(F.lag("ts").over(w).cast("timestamp"), F.col("ts").cast("timestamp")), F.lit(0.0)).alias("gap_score"))
 
 
 GAPS = [(1, "2024-01-01 00:00:00", "2024-01-01 00:29:54"), (2, "2024-01-01 00:00:00", "2024-01-01 00:30:00"), (3, "2024-01-01 00:00:00", "2024-01-01 01:00:00"), (4, "2024-01-01 00:00:00", "2024-01-01 02:00:00"), (5, "2024-01-01 00:00:00", "2024-01-01 08:20:00"), (6, "2024-01-01 01:00:00", "2024-01-01 00:00:00"), (7, None, "2024-01-01 00:00:00")]
@@ -229,8 +229,8 @@ register(
 )
 register(
     "rename_segment",
-    lambda spark, sf: S.renamed(S.segments(all_messages(spark, sf)).withColumn("title", F.concat(F.lit("Segment "), F.col("seg_no").cast("string"))), _TARGET, 1, "Renamed").select("conv_id", "seg_no", "title"),
-    f"{segments_sql()} SELECT conv_id, seg_no, CASE WHEN conv_id = {_TARGET} AND seg_no = 1 THEN 'Renamed' ELSE 'Segment ' || seg_no END AS title FROM seg",
+    lambda spark, sf: rounded(S.renamed(S.segments(all_messages(spark, sf)).withColumn("title", F.concat(F.lit("Segment "), F.col("conv_id").cast("string"), F.lit("."), F.col("seg_no").cast("string"))), _TARGET, 1, "Renamed").select("conv_id", "seg_no", "start_index", "confidence", "title"), "confidence"),
+    f"{segments_sql()} SELECT conv_id, seg_no, start_index, round(confidence, 6) AS confidence, CASE WHEN conv_id = {_TARGET} AND seg_no = 1 THEN 'Renamed' ELSE 'Segment ' || conv_id || '.' || seg_no END AS title FROM seg",
 )
 
 # --- language-model path: chunks, prompts, replies
