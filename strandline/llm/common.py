@@ -53,6 +53,12 @@ def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
         yield batch.slice(at)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the bytes of an Arrow batch between Spark and Python: a batch is held several times
+    on both sides, and long texts would make the default of 64 MB the largest thing in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def tidy() -> None:
     """Gives memory back to the system at the end of a task: Python workers live on, idle, and
     several share an executor's allowance."""

@@ -139,7 +139,7 @@ def estimate(counts: dict[str, Counter], order: int = 5) -> Model:
 class Scorer:
     """Scores texts with a bounded memory of words already scored."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
         self.rows: dict[str, int] = {}
         self.values = np.zeros((0, len(model.langs)))
@@ -158,8 +158,8 @@ class Scorer:
             grown = np.zeros((max(self.filled + len(fresh), min(self.most, 2 * len(self.values))), len(self.model.langs)), dtype=np.float32)
             grown[: self.filled] = self.values[: self.filled]
             self.values = grown
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
+        for i in range(0, len(fresh), 5_000):
+            part = fresh[i : i + 5_000]
             self.values[self.filled : self.filled + len(part)] = self.model.words(part)
             self.rows.update(zip(part, range(self.filled, self.filled + len(part))))
             self.filled += len(part)
@@ -225,7 +225,7 @@ def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return calibrated(estimate(counts, order), [(k, t) for k, t in found if k in counts])
 
 
-def identified(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), batch_bytes: int = 4 << 20) -> DataFrame:
+def identified(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), batch_bytes: int = 2 << 20) -> DataFrame:
     """``keep`` columns with lang_pred, score, entropy and accepted; one narrow pass."""
     rows = df.select(*[df[c] for c in keep if c != text_col], df[text_col].alias("__text"))
     kept = [c for c in keep if c != text_col]
@@ -251,7 +251,7 @@ def accepted_only(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for whole in batches:
-            for b in slices(whole, text_col, 4 << 20):
+            for b in slices(whole, text_col, 2 << 20):
                 yield b.filter(pa.array([ok for *_, ok in scorer.predict(text_list(b.column(text_col)))], type=pa.bool_()))
         tidy()
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import embeddings, langid, media_ts, minhash, mixing, packing, secret_scan, suffixes, tokens, warc
 
+from .common import small_batches
+
 
 def vocabulary() -> str:
     import public_tokenizers
@@ -17,6 +19,7 @@ def vocabulary() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

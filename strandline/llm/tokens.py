@@ -75,7 +75,7 @@ class Transducer:
     """Compiled from a ``tokenizers`` JSON file whose normaliser is NFC, white space to one
     blank and lower case, and whose pre-tokenizer keeps the matches of one pattern."""
 
-    def __init__(self, path: str, max_states: int = 400_000):
+    def __init__(self, path: str, max_states: int = 300_000):
         import json
 
         from tokenizers import Tokenizer
