@@ -105,6 +105,10 @@ class Rx:
     def python(self) -> re.Pattern:
         return re.compile(self.text("python"), re.ASCII)
 
+    @cached_property
+    def python_to(self) -> str:
+        return re.sub(r"\$(\d)", r"\\\1", self.to)
+
     @cached_property
     def re2(self) -> str:
         return self.text("re2")
@@ -130,7 +134,7 @@ class Rx:
         return self.python.search(s) is not None
 
     def replace_py(self, s: str) -> str:
-        return self.python.sub(re.sub(r"\$(\d)", r"\\\1", self.to), s, count=1 if self.once else 0)
+        return self.python.sub(self.python_to, s, count=1 if self.once else 0)
 
     # SQL text
     def test_sql(self, e: str) -> str:

@@ -13,6 +13,7 @@ from ..config import Settings
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.dialect import trim
+from ..sources.shared import cut
 from . import segments as S
 from . import titles
 
@@ -138,33 +139,34 @@ def index_body(conv_title: Column, source: str, date: Column) -> list[Column]:
 # --- whole notes
 
 
-def described_segments(messages: DataFrame, granularity: str) -> DataFrame:
-    """conv_id, seg_no, n_messages, first turns, links and the text lists of each segment."""
-    rows = S.assigned(messages, S.segments(messages, granularity)).select("conv_id", "seg_no", "index", "role", "text")
-    first = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("index")))
-    urls = F.array_distinct(F.transform(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("index", T.links(F.col("text")).alias("u")))), lambda x: x["u"])), T.clean_url))
-    shape = rows.groupBy("conv_id", "seg_no").agg(F.count("*").alias("n_messages"), first("user").alias("first_user"), first("assistant").alias("first_assistant"), F.transform(urls, T.url_link).alias("links"))
-    return titles.described(rows, ["conv_id", "seg_no"]).join(shape, ["conv_id", "seg_no"])
+def described_segments(messages: DataFrame, settings: Settings) -> DataFrame:
+    """Everything a note shows of its segment, from one gathering of the segment's messages."""
+    rows = S.assigned(messages, S.segments(messages, settings.granularity))
+    groups = titles.spread(rows, "conv_id").groupBy("conv_id", "seg_no").agg(F.array_sort(F.collect_list(F.struct("index", "role", "text"))).alias("messages"))
+    first = lambda role: F.get(F.filter("messages", lambda m: m["role"] == role), 0)["text"]
+    urls = F.array_distinct(F.transform(F.flatten(F.transform("messages", lambda m: T.links(m["text"]))), T.clean_url))
+    shown = F.filter("messages", lambda m: ~m["role"].isin("system", "tool"))
+    body = F.transform(shown, lambda m: render_message(m["role"], m["text"], settings.speaker_style, T.word_count(m["text"]), threshold=settings.collapse_threshold))
+    groups = groups.select("conv_id", "seg_no", "messages", F.size("messages").cast("long").alias("n_messages"), first("user").alias("first_user"), first("assistant").alias("first_assistant"), F.transform(urls, T.url_link).alias("links"), F.array_join(body, "\n\n").alias("body"))
+    return titles.described_groups(groups)
 
 
 def notes(messages: DataFrame, conversations: DataFrame, settings: Settings, summary) -> DataFrame:
     """path, filename, content, conv_id, seg_no, is_index for (conv_id, title, source, content_type).
 
     Every note links both its neighbours in front matter and footer."""
-    segs = described_segments(messages, settings.granularity)
-    segs = segs.withColumn("summary", summary(F.col("first_user"), F.col("first_assistant")))
+    segs = described_segments(messages, settings)
+    segs = cut(segs.withColumn("summary", summary(F.col("first_user"), F.col("first_assistant"))))
     c = conversations.select("conv_id", F.col("title").alias("conv_title"), "source", (F.col("content_type") == "document").alias("is_doc"))
-    names = titles.described(messages.select("conv_id", "index", "role", "text"), ["conv_id"]).select("conv_id", F.array_join(F.slice("entities", 1, 3), " ").alias("about"))
+    names = titles.described(messages.select("conv_id", "index", "role", "text"), ["conv_id"], ("entities",)).select("conv_id", F.array_join(F.slice("entities", 1, 3), " ").alias("about"))
     c = c.join(names, "conv_id").withColumn("index_topic", F.when(F.col("about") == "", "Index").otherwise(F.concat(F.col("about"), lit(" Index"))))
     total = segs.groupBy("conv_id").agg(F.count("*").alias("total"))
     base = {"date": lit(settings.date), "conversation_title": F.col("conv_title"), "source": F.col("source"), "segment_total": F.col("total").cast("string")}
     template = lit(settings.naming_template)
     name = lambda extra: T.sanitize_filename(T.render_template(template, {**base, **extra}))
-    head = c.join(total, "conv_id").withColumn("index_name", name({"topic": F.col("index_topic")}))
+    head = cut(c.join(total, "conv_id").withColumn("index_name", name({"topic": F.col("index_topic")})))
     folder = F.concat(lit(settings.target_folder + "/"), T.sanitize_filename(F.col("conv_title"))) if settings.folder_structure == "nested" else lit(settings.target_folder)
     rows = nav_links(segs.join(head, "conv_id").withColumn("name", name({"topic": F.col("title"), "segment": F.col("seg_no").cast("string")})))
-    bodies = message_text(S.assigned(messages, S.segments(messages, settings.granularity)), ["conv_id", "seg_no"], settings.speaker_style, settings.collapse_threshold)
-    rows = rows.join(bodies, ["conv_id", "seg_no"], "left")
     front = lambda css, own, tags, n, links: frontmatter(
         [("cssclasses", F.concat(lit("["), css, lit("]"))), ("source", F.col("source")), ("conversation_id", T.escape_yaml(F.col("conv_id").cast("string"))), ("conversation_title", T.escape_yaml(F.col("conv_title"))), *own, ("date", lit(settings.date)), ("date_imported", lit(settings.imported)), ("tags", F.concat(lit("["), F.array_join(tags, ", "), lit("]"))), ("message_count", n), *links],
         settings.custom_frontmatter,

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,16 @@ Messages = list[tuple[str, str]]  # (role, text) in order
 
 _WHITE = Rx(r"\s+").python
 _SENTENCE = Rx(r"^[^.!?]*[.!?]")
+_EDGE_DASHES = Rx(r"^-+|-+$")
+_NOT_TAG = Rx(r"[^a-z0-9]+", to="-")
+_NO_WORD_START = Rx(r"^[^a-zA-Z0-9]")
+_ONE_BLANK = Rx(r"\s+", to=" ")
+_NOT_NORMAL = Rx(r"[^a-z0-9\s]")
+_STOP = Rx(r"([.!?])\s+", to="$1\x02")
+_BULLET = Rx(r"^[-*+]\s+")
+_NUMBER = Rx(r"^\d+\.\s+")
+_LONG_BOLD = Rx(r"\*\*([^*]{15,})\*\*")
+_PARAGRAPH = Rx(r"\n\n+")
 _WORDY = Rx(r"^([a-zA-Z'-]+)([^a-zA-Z'-]*)$").python
 
 
@@ -162,7 +173,7 @@ def entities(messages: Messages, most: int = 5) -> list[str]:
 
 def entity_tag(messages: Messages) -> str | None:
     for name in entities(messages, 1):
-        tag = Rx(r"^-+|-+$").replace_py(Rx(r"[^a-z0-9]+", to="-").replace_py(name.lower()))
+        tag = _EDGE_DASHES.replace_py(_NOT_TAG.replace_py(name.lower()))
         return tag if len(tag) >= 2 else None
     return None
 
@@ -295,7 +306,7 @@ def by_opening(messages: Messages) -> str | None:
     for r in R.OPENING_PROSE:
         sentence = trim_py(r.replace_py(sentence))
     sentence = strip_artifacts(sentence)
-    if not 8 <= len(sentence) <= 50 or R.PRONOUNS.test_py(sentence) or Rx(r"^[^a-zA-Z0-9]").test_py(sentence):
+    if not 8 <= len(sentence) <= 50 or R.PRONOUNS.test_py(sentence) or _NO_WORD_START.test_py(sentence):
         return None
     return truncate(title_case(_with_kernel(sentence, messages)))
 
@@ -311,10 +322,11 @@ def by_sentence(messages: Messages) -> str | None:
     return truncate(title_case(s)) if s else None
 
 
-def tokens(text: str) -> list[str]:
-    import regex
+_TOKEN_CUT = regex.compile(r"[\s\uFEFF\p{P}]+")
+
 
-    return [t for t in regex.split(r"[\s﻿\p{P}]+", text.lower()) if len(t) >= 3]
+def tokens(text: str) -> list[str]:
+    return [t for t in _TOKEN_CUT.split(text.lower()) if len(t) >= 3]
 
 
 def by_keywords(messages: Messages) -> str:
@@ -333,7 +345,7 @@ def title(messages: Messages) -> str:
 
 
 def normal(text: str) -> str:
-    return trim_py(_WIDE.replace_py(Rx(r"\s+", to=" ").replace_py(Rx(r"[^a-z0-9\s]").replace_py(text.lower()))))
+    return trim_py(_ONE_BLANK.replace_py(_NOT_NORMAL.replace_py(text.lower())))
 
 
 def shortened(text: str, most: int = R.ITEM_MOST) -> str:
@@ -410,7 +422,7 @@ def topics(messages: Messages) -> list[str]:
 
 def sentences(text: str) -> list[str]:
     text = R.ABBREVIATION_DOT.replace_py(R.FENCED.replace_py(text))
-    parts = Rx(r"([.!?])\s+", to="$1\x02").replace_py(text).split("\x02")
+    parts = _STOP.replace_py(text).split("\x02")
     return [s for s in (trim_py(p.replace("\x01", ".")) for p in parts) if s]
 
 
@@ -421,17 +433,17 @@ def takeaways(messages: Messages) -> list[str]:
             wordy = sum(len(w) >= 4 for w in _WHITE.split(s)) >= 3
             if len(s) >= 15 and any_py(R.TAKEAWAYS, s[:60]) and wordy and not any_py(R.PROMPTS, s) and not R.ACKNOWLEDGED.test_py(s):
                 clean = trim_py(steps_py(R.CLEAN_INLINE, s))
-                for r in (Rx(r"^[-*+]\s+"), Rx(r"^\d+\.\s+"), Rx(r"\s+", to=" ")):
+                for r in (_BULLET, _NUMBER, _ONE_BLANK):
                     clean = r.replace_py(clean)
                 if len(clean := strip_artifacts(clean)) >= 15:
                     out.add(shortened(clean))
     for text in answers:
-        for m in Rx(r"\*\*([^*]{15,})\*\*").python.finditer(text):
+        for m in _LONG_BOLD.python.finditer(text):
             bold = trim_py(m[1])
             if len(bold) >= 15 and any_py(R.TAKEAWAYS, bold) and not any_py(R.PROMPTS, bold):
                 out.add(shortened(bold))
     if not out.items and answers:
-        last = [p for p in Rx(r"\n\n+").python.split(answers[-1]) if trim_py(p)]
+        last = [p for p in _PARAGRAPH.python.split(answers[-1]) if trim_py(p)]
         end = trim_py(last[-1]) if len(last) > 1 else ""
         if len(end) >= 20 and not end.startswith("```") and not any_py((R.NO_PROSE[1], R.NO_PROSE[2]), end):
             m = _SENTENCE.python.search(end)
@@ -444,18 +456,32 @@ def takeaways(messages: Messages) -> list[str]:
 # --- over DataFrames
 
 
-def described(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """title, entities, tags, questions, topics and takeaways of each group of (index, role, text)."""
-    groups = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("index", "role", "text"))).alias("messages"))
-    kinds = {"title": "string", "entities": "array<string>", "tags": "array<string>", "questions": "array<string>", "topics": "array<string>", "takeaways": "array<string>"}
-    schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys] + [f"{k} {v}" for k, v in kinds.items()])
+LISTS = {"title": ("string", title), "entities": ("array<string>", entities), "tags": ("array<string>", tags), "questions": ("array<string>", questions), "topics": ("array<string>", topics), "takeaways": ("array<string>", takeaways)}
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deals rows by a key to as many tasks as the session is set to use; without a fixed number few
+    bytes would be gathered in one task, but what follows costs time and not bytes."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
+def described_groups(groups: DataFrame, names: tuple[str, ...] = tuple(LISTS)) -> DataFrame:
+    """Rows with an array ``messages`` of (index, role, text): the array gives way to what is named."""
+    kept = [c for c in groups.columns if c != "messages"]
+    schema = ", ".join([f"{k} {groups.schema[k].dataType.simpleString()}" for k in kept] + [f"{k} {LISTS[k][0]}" for k in names])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [[(m["role"], m["text"] or "") for m in ms] for ms in b["messages"]]
-            out = b[keys].copy()
-            for name, f in (("title", title), ("entities", entities), ("tags", tags), ("questions", questions), ("topics", topics), ("takeaways", takeaways)):
-                out[name] = [f(m) for m in found]
+            out = b[kept].copy()
+            for name in names:
+                out[name] = [LISTS[name][1](m) for m in found]
             yield out
 
     return groups.mapInPandas(run, schema)
+
+
+def described(rows: DataFrame, keys: list[str], names: tuple[str, ...] = tuple(LISTS)) -> DataFrame:
+    """What is named (all of LISTS by default) of each group of (index, role, text)."""
+    return described_groups(spread(rows, keys[0]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("index", "role", "text"))).alias("messages")), names)

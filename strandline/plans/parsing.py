@@ -78,7 +78,12 @@ register(
 for _name, _only in {"parse_inputs": (), "parse_chatgpt_json": (1,), "parse_claude_json": (2,), "parse_chatgpt_paste": (3,), "parse_claude_paste": (4,), "parse_claude_web": (5,), "parse_chatgpt_unlabeled": (6,), "parse_markdown": (7, 8, 9, 10, 14), "source_override": (12, 13)}.items():
     register(_name, lambda spark, sf, o=_only: parse.parsed_messages(_inputs(spark, *o)))
 register("parse_documents", lambda spark, sf: parse.parsed_messages(_docs(spark, sf).select(F.col("id").alias("input_id"), F.col("t").alias("content"), F.lit(None).cast("string").alias("override"))).select("input_id", "index", "content_type", F.md5("text").alias("digest")))
-register("list_conversations", lambda spark, sf: _listed(_inputs(spark, 1)))
+_TREE_JSON = json.dumps(TREE).replace("'", "''")
+register(
+    "list_conversations",
+    lambda spark, sf: _listed(_inputs(spark, 1)),
+    f"SELECT coalesce(c->>'id', '') AS id, coalesce(nullif(c->>'title', ''), 'Untitled') AS title, len(json_keys(c->'mapping')) AS n_nodes FROM (SELECT unnest(json_extract('{_TREE_JSON}'::JSON, '$[*]')) AS c)",
+)
 
 
 def _listed(inputs: DataFrame) -> DataFrame:
@@ -91,6 +96,7 @@ def _listed(inputs: DataFrame) -> DataFrame:
 register(
     "mask_code",
     lambda spark, sf: texts(spark, sf).select("id", parse.masked(F.col("t")).alias("value")),
+    f"SELECT id, regexp_replace(t, {_FENCE_SQL}, '__CODE__', 'g') AS value FROM {TEXTS_SQL}",
 )
 register("content_blocks", lambda spark, sf: parse.parsed_messages(inline(spark, [(1, "before\n```python\n  x = 1\n```\nafter\n~~~\ny\n~~~", None)], _SCHEMA)).select("index", "blocks"))
 
@@ -151,13 +157,13 @@ _TALKS = [
 ]
 
 
-def _described(spark, sf: str) -> DataFrame:
+def _described(spark, sf: str, *names: str) -> DataFrame:
     rows = inline(spark, _TALKS, "conv_id bigint, index int, role string, text string").unionByName(messages(spark, sf))
-    return titles.described(rows, ["conv_id"])
+    return titles.described(rows, ["conv_id"], names)
 
 
 for _name, _columns in {"titles": ["title"], "entities": ["entities"], "tags": ["tags"], "questions": ["questions"], "topics": ["topics"], "takeaways": ["takeaways"]}.items():
-    register(_name, lambda spark, sf, c=_columns: _described(spark, sf).select("conv_id", *c))
+    register(_name, lambda spark, sf, c=_columns: _described(spark, sf, *c))
 _FILLED = ["Can you please help me find the best hotels", "ok so let's break down the budget", "what about the visa?", "tell me about it if you want to", "plain text"]
 
 

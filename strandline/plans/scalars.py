@@ -90,6 +90,19 @@ def _comparison_sql(e: str) -> str:
 
 scalar("comparison_sides", _comparison, _comparison_sql)
 
+scalar("tag_prefix", lambda c: F.when(F.instr(c, "/") > 1, F.substring_index(c, "/", 1)).otherwise(c), lambda e: f"CASE WHEN strpos({e}, '/') > 1 THEN split_part({e}, '/', 1) ELSE {e} END")
+scalar("user_like_short", lambda c: (F.length(trim(c)) <= R.USER_PARAGRAPH_MOST) & ~any_of(R.NOT_USER_SHORT, trim(c)), lambda e: f"(length({trim_sql(e)}) <= {R.USER_PARAGRAPH_MOST} AND NOT {any_sql(R.NOT_USER_SHORT, trim_sql(e))})")
+scalar("summary_url_strip", lambda c: steps(R.SUMMARY_URLS, c), lambda e: steps_sql(R.SUMMARY_URLS, e))
+register(
+    "date_labels",
+    lambda spark, sf: read(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("label")),
+    "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M') AS label FROM events",
+)
+register(
+    "epoch_timestamps",
+    lambda spark, sf: read(spark, sf, "events").select("event_id", F.date_format(F.timestamp_millis(F.floor(F.nullif(F.col("value"), F.lit(0.0)) * 1e6).cast("long")), "yyyy-MM-dd HH:mm:ss").alias("at")),
+    "SELECT event_id, strftime(make_timestamp((floor(nullif(value, 0) * 1e6)::BIGINT) * 1000), '%Y-%m-%d %H:%M:%S') AS at FROM events",
+)
 TEMPLATE = "{{date}} - {{topic}} ({{segment}}/{{segment_total}}) {{other}}"
 register(
     "render_template",

@@ -1,13 +1,38 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables cut to it."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{at.rstrip('/')}/strandline-{spark.sparkContext.applicationId}-{name}"
+    path = f"{at.rstrip('/')}/strandline-{spark.sparkContext.applicationId}-{name}"
+    if not _made:
+        atexit.register(_sweep, spark)
+    _made.append(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: what several branches of a plan
+    need is computed once, and survives the loss of executors."""
+    path = scratch(df.sparkSession, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _sweep(spark: SparkSession) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in map(where, _made):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may be gone at exit; the folders are the application's own
+        return
