@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, minhash, mixing, packing, secret_scan
+from strandline.llm import bloom, langid, minhash, mixing, packing, secret_scan
 from strandline.llm.common import dropped, small_batches, written
 from strandline.llm.queries import vocabulary
 
@@ -31,7 +31,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = minhash.near_duplicates(docs, width=5, num=80, den=100)
-    return docs.join(found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = written(found.filter(~F.col("kept")).select("doc_id").distinct())
+    # rows that surely stay pass by; only those that may go meet the ids that go
+    filter_ = bloom.built(gone, gone.count())
+    sure, rest = (bloom.thinned(docs, "doc_id", filter_, inside) for inside in (False, True))
+    return sure.unionAll(rest.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,8 +40,8 @@ def built(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return words, bits
 
 
-def thinned(df: DataFrame, id_col: str, filter_: tuple[np.ndarray, int]) -> DataFrame:
-    """The rows of ``df`` whose id may be in the filter; null ids go."""
+def thinned(df: DataFrame, id_col: str, filter_: tuple[np.ndarray, int], inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose id may be in the filter, or the others; a null id is never inside."""
     words, bits = filter_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,6 +49,7 @@ def thinned(df: DataFrame, id_col: str, filter_: tuple[np.ndarray, int]) -> Data
             column = b.column(id_col)
             at = places(column.fill_null(0).to_numpy(zero_copy_only=False), bits)
             hit = (words[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool).reshape(2, -1).all(0)
-            yield b.filter(pa.array(hit & ~column.is_null().to_numpy(zero_copy_only=False)))
+            hit &= ~column.is_null().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(hit if inside else ~hit))
 
     return df.mapInArrow(run, df.schema)

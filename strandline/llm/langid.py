@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import U64, mix64, slices, text_list, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
-EDGE = 32
+#: nats a letter beyond what is usual below which no text is rejected, however long
+EXCESS = 1.5
 
 
 def stream(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +184,7 @@ class Scorer:
         ok = n > 0
         if self.model.usual is not None:
             off = -top - self.model.usual[best]
-            ok &= ~((off > 1.0) & (off * np.sqrt(n) > self.model.bound[best]))
+            ok &= ~((off > EXCESS) & (off * np.sqrt(n) > self.model.bound[best]))
         return [(self.model.langs[b], float(s), float(-t), bool(a)) if m else ("und", 0.0, 0.0, False) for b, s, t, a, m in zip(best, score, top, ok, n)]
 
 
