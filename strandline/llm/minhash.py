@@ -207,7 +207,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     table = written(features(df, id_col, text_col, width))
     rows = table.count()
-    parts = max(16, min(4096, rows // 2_000))
+    parts = max(64, rows // 50_000)
     classes = table.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = table.join(classes, "set_key").filter("id = rep").dropDuplicates(["set_key"])
     groups = written(components(candidates(reps, parts)).select(F.col("node").alias("id"), F.col("component").alias("grp")))

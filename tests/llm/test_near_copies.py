@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from strandline.llm import embeddings, graph, minhash, shingles, suffixes
+from strandline.llm import bloom, embeddings, graph, minhash, shingles, suffixes
 
 from .conftest import edge_rows, words
 
@@ -79,6 +79,16 @@ def test_circulant_signatures_estimate_similarity():
     assert sorted(table[:, 0]) == list(range(1 << minhash.UNIVERSE_BITS))
 
 
+def test_bloom_filter(spark):
+    rows = spark.createDataFrame([(i if i else None, str(i)) for i in range(3000)], "x bigint, word string").repartition(3)
+    f = bloom.built(rows.filter("x % 10 = 3").select("x"), 300)
+    inside = {r.x for r in bloom.thinned(rows, "x", f).collect()}
+    outside = {r.x for r in bloom.thinned(rows, "x", f, inside=False).collect()}
+    assert {x for x in range(1, 3000) if x % 10 == 3} <= inside and len(inside) < 600
+    assert not inside & outside and len(inside) + len(outside) == 3000 and None in outside
+    assert bloom.thinned(rows, "x", bloom.built(rows.filter("false").select("x"), 0)).count() == 0
+
+
 def test_shingles():
     assert len(shingles.shingle_set(b"", 3)) == 0 and len(shingles.shingle_set(b" \t\x0b\x0c\r\n", 3)) == 0
     assert len(shingles.shingle_set(b"A b", 3)) == 1
