@@ -33,6 +33,11 @@ WORD = re.compile(r"[^\W\d_]+")
 EXCESS = 1.5
 
 
+def lettered(words: list[str]) -> bool:
+    """Whether a letter is among them: raised digits and the like also pass for word characters."""
+    return any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)
+
+
 def stream(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the words with an edge mark on both sides, the place of each in its word,
     and where each word begins."""
@@ -148,7 +153,7 @@ class Scorer:
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods (text x language) and letters with word ends of each text."""
-        found = [WORD.findall(t.lower()) for t in texts]
+        found = [w if lettered(w) else [] for w in (WORD.findall(t.lower()) for t in texts)]
         new = set().union(*found) - self.rows.keys() if found else set()
         if self.filled + len(new) > self.most:
             self.rows.clear()

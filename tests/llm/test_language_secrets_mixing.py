@@ -35,6 +35,12 @@ def test_language_edges(spark, edges, nothing):
     assert langid.accepted_only(edges, model).columns == edges.columns
 
 
+def test_texts_without_letters():
+    model = langid.estimate({"a": {"aba": 3}}, 3)
+    got = langid.Scorer(model).predict(["² ½", "123 _ ٣", "x²", "", "ª"])
+    assert [g[0] for g in got] == ["und", "und", "a", "und", "a"]
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     counts = {"a": {"aba": 3, "abb": 1, "ba": 2}, "b": {"ccc": 2}}
     model = langid.estimate(counts, 3)
