@@ -88,7 +88,9 @@ class Transducer:
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"]:
             raise ValueError("only word-end vocabularies with NFC, blank and lower-case normalisation are compiled")
-        cut = steps[0]["pattern"]["Regex"].replace(r"\s", BLANK)
+        # alternatives begin with different letters or share an order: words, the most frequent, are tried first
+        ways = steps[0]["pattern"]["Regex"].replace(r"\s", BLANK).split("|")
+        cut = "|".join(sorted(ways, key=lambda w: w != r"[\p{L}]+"))
         self.pattern = regex.compile(cut)
         #: on ASCII text the library's pattern needs no Unicode classes
         self.ascii = re.compile(cut.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))

@@ -179,7 +179,7 @@ def test_oracles(spark):
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, DATA)
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "embeddings"):
             con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
         want = con.sql(sql)
         names = sorted(got.columns)
