@@ -1,13 +1,17 @@
 """Hierarchical multi-length packing of token sequences.
 
 Documents are cut into full windows of the longest tier and a remainder; remainders are
-routed to the tier of the smallest power of two that holds them.  The tiers are packed from
-the longest down, each window taking the largest pieces first (best fit by length), and what
-is still open in a window is filled from the shorter tiers.  The last gap of a window is
-closed by cutting one more piece, so only the very last window of a partition stays short;
-it is cut into windows whose lengths are powers of two, which need no padding.  Windows then
-get a step group: windows of one tier go round by tier, so the groups hold equal numbers of
-tokens but for the last.
+routed to the tier of the smallest power of two that holds them, and each tier is packed into
+windows of its own size.  The tiers are packed from the longest down, each window taking the
+longest piece of its tier first, and what is still open in it is filled from the shorter tiers
+(best fit by length).  The last gap of a window is closed by cutting one more piece, whose rest
+goes to the tier of its new length, so only the very last window of a run stays short; it is
+cut into windows whose lengths are powers of two, which need no padding.
+
+Windows then get a step group: from the longest tier down, a group takes windows of one tier
+until it holds ``step_windows * window`` tokens, more windows of a shorter tier than of a longer
+one.  Where a tier ends within a group the next shorter one completes it, without a remainder
+as the sizes divide each other; so all groups of a run hold equal numbers of tokens but the last.
 
 Packing works within each input partition, so nothing is shuffled, a window never depends on
 rows elsewhere, and a lost task is redone alone.  A null text is empty: one end token.
@@ -16,7 +20,6 @@ rows elsewhere, and a lost task is redone alone.  A null text is empty: one end
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,29 +36,47 @@ def pack(lengths: list[int], window: int = 2048, least: int = 16) -> list[tuple[
 
     Every token lies in exactly one piece and a window has no gaps.  Each window is full
     or has a power of two of tokens.  ``least`` is the shortest gap for which a whole piece is
-    looked up in the shorter tiers before one is cut."""
+    looked up in the shorter tiers before one is cut (an eighth of the window, if that is less)."""
     out: list[tuple[int, int, int, int, int]] = []
     made = 0
-    tiers: dict[int, list[tuple[int, int, int]]] = {}
+    # pieces by length, so a tier is a range of lengths; bit n of ``lengths_`` is set if there are any of n tokens
+    open_: list[list[tuple[int, int]]] = [[] for _ in range(window + 1)]
+    lengths_ = 0
+
+    def put(n: int, i: int, start: int) -> None:
+        nonlocal lengths_
+        open_[n].append((i, start))
+        lengths_ |= 1 << n
+
+    def taken(n: int) -> tuple[int, int]:
+        nonlocal lengths_
+        piece = open_[n].pop()
+        if not open_[n]:
+            lengths_ ^= 1 << n
+        return piece
+
     for i, n in enumerate(lengths):
         full = n // window
         for k in range(full):
             out.append((i, k * window, window, made, 0))
             made += 1
         if rest := n - full * window:
-            tiers.setdefault((rest - 1).bit_length(), []).append((rest, i, full * window))
-    open_: list[tuple[int, int, int]] = sorted(x for t in sorted(tiers) for x in tiers[t])
-    while open_:
-        room, used, here = window, 0, []
-        while room and open_:
-            at = bisect_right(open_, (room, 1 << 62, 0)) - 1
-            if at >= 0 and (room >= least or open_[at][0] == room):
-                n, i, start = open_.pop(at)
+            put(rest, i, full * window)
+    while lengths_:
+        n = lengths_.bit_length() - 1  # the longest piece that is left is of the tier now packed
+        tier = min(window, 1 << (n - 1).bit_length())
+        here = [(*taken(n), n, 0)]
+        room, used = tier - n, n
+        while room and lengths_:
+            fits = (lengths_ & ((2 << room) - 1)).bit_length() - 1
+            longer = lengths_ >> (room + 1)
+            if fits > 0 and (room >= min(least, tier >> 3) or fits == room or not longer):
+                n = fits
+                i, start = taken(n)
             else:  # nothing fits whole: cut the shortest piece that is longer than the gap
-                m, i, start = open_.pop(max(at + 1, 0) if at + 1 < len(open_) else at)
-                n = min(room, m)
-                if m > n:
-                    insort(open_, (m - n, i, start + n))
+                m, n = room + (longer & -longer).bit_length(), room
+                i, start = taken(m)
+                put(m - n, i, start + n)
             here.append((i, start, n, used))
             used += n
             room -= n
@@ -100,7 +121,7 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             tier = np.maximum(0, np.ceil(np.log2(filled))).astype(np.int64)
             turn = np.empty(len(filled), dtype=np.int64)
             order = np.lexsort((np.arange(len(filled)), -tier))
-            turn[order] = np.arange(len(filled)) // step_windows
+            turn[order] = (np.cumsum(filled[order]) - filled[order]) // (step_windows * window)
             for at in range(0, len(item), 50_000):
                 cut = slice(at, at + 50_000)
                 yield pa.RecordBatch.from_arrays(

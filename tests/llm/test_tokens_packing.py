@@ -96,3 +96,44 @@ def test_packed_edge_rows(edges, nothing, library):
         parts.sort()
         assert [o for o, _ in parts] == list(np.cumsum([0, *(n for _, n in parts)])[:-1])
     assert packing.pack_documents(nothing, vocabulary()).count() == 0
+
+
+def windows_of(pieces) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for _, _, n, w, _ in pieces:
+        out.setdefault(w, []).append(n)
+    return out
+
+
+def test_tiers_are_packed_at_their_own_size():
+    rng = random.Random(9)
+    lengths = [rng.randint(20, 300) for _ in range(5_000)]
+    found = windows_of(packing.pack(lengths))
+    made = [sum(parts) for parts in found.values()]
+    # the longest pieces need 512, nothing is stretched to the longest window; several tiers get windows
+    assert max(made) == 512 and {512, 256, 128, 64} <= set(made)
+    short = [w for w, parts in found.items() if 2 * max(parts) <= sum(parts)]
+    assert all(w >= len(found) - 10 for w in short)  # but the tail, a window holds a piece of its own tier
+    assert any(len(parts) >= 3 for parts in found.values())  # and shorter tiers fill what is open
+    assert windows_of(packing.pack([1000, 20, 4])) == {0: [1000, 20, 4]}
+    assert windows_of(packing.pack([2048 + 300, 100, 100, 12])) == {0: [2048], 1: [300, 100, 100, 12]}
+    assert sorted(map(sum, windows_of(packing.pack([64] * 3 + [30, 2])).values())) == [32, 64, 64, 64]
+    assert sorted(map(sum, windows_of(packing.pack([1] * 40_000)).values())) == [1] * 40_000
+
+
+def test_tiers_and_step_groups_of_rows(spark):
+    docs = spark.createDataFrame([(i, words(i, 1 + 37 * i % 400)) for i in range(400)] + [(400, words(7, 9_000))], "doc_id bigint, text string").coalesce(1)
+    rows = packing.pack_documents(docs, vocabulary()).collect()
+    tier, group, filled = {}, {}, {}
+    for r in rows:
+        tier[r.sequence_id], group[r.sequence_id] = r.tier, r.step_group
+        filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
+    assert tier == filled and len(set(tier.values())) >= 4  # the tier is the size of the window
+    tokens_, tiers = {}, {}
+    for s, g in group.items():
+        tokens_[g] = tokens_.get(g, 0) + filled[s]
+        tiers.setdefault(g, set()).add(tier[s])
+    last = max(tokens_)
+    assert len(tokens_) > 3 and all(n == 8 * 2048 for g, n in tokens_.items() if g != last) and tokens_[last] <= 8 * 2048
+    order = sorted(tiers)
+    assert all(min(tiers[a]) >= max(tiers[b]) for a, b in zip(order, order[1:]))  # from the longest tier down
