@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns and character Markov models.
 
 Three base kinds are found by pattern (assigned values, access keys, long hexadecimal runs).
-Beyond them, every run of 20 or more letters of the base-64 alphabet is scored by two
-order-2 character models, one of random strings and one of ordinary identifiers; a run whose
-log-likelihood ratio passes both a total and a rate becomes a span of kind ``random``.
+Beyond them, every run of 12 or more letters of the base-64 alphabet (the length from which the
+bounds are calibrated) is scored by two order-2 character models, one of random strings and one
+of ordinary identifiers; a run whose log-likelihood ratio passes both a total and a rate becomes
+a span of kind ``random``.
 
 The models are trained from labelled samples: random strings (base hits of the sample and
 generated ones) against identifiers (words of the sample outside base hits, alone and joined
-as identifiers are).  The sample is bounded: about ``sample_rows`` documents chosen by a
+as identifiers are).  Runs of fewer than 20 letters have models of their own, whose identifiers
+also hold generated numbers, dates, paths and rules: what is that short is mostly of these.  The sample is bounded: about ``sample_rows`` documents chosen by a
 digest, ``sample_chars`` letters of each.  Scanning itself reads every whole text.
 
 Null and empty texts have no spans; positions count code points, ends are exclusive.
@@ -19,7 +21,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from .common import slices, text_list
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+SHORTEST, LONG = 12, 20  # letters of a run that is scored, and from which it is more than a number
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, len(ALPHABET), dtype=np.int64)
@@ -64,11 +67,14 @@ def codes(s: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Models:
-    """Per-letter log ratio of the two models, and the two bounds a secret passes."""
+    """Per-letter log ratio of the two models, and the two bounds a secret passes.
+
+    Runs of fewer than ``LONG`` letters are left to ``brief``, if there is one."""
 
     ratio: np.ndarray
     total: float
     rate: float
+    brief: Models | None = None
 
     def score(self, s: str) -> tuple[float, float]:
         c = codes(s)
@@ -76,6 +82,8 @@ class Models:
         return r, r / max(1, len(s))
 
     def secret(self, s: str) -> bool:
+        if self.brief is not None and len(s) < LONG:
+            return self.brief.secret(s)
         total, rate = self.score(s)
         return total >= self.total and rate >= self.rate
 
@@ -94,16 +102,44 @@ def _model(sample: list[str], backing: float = 8.0) -> np.ndarray:
     return np.log(three / three.sum(-1, keepdims=True))
 
 
-def train(random_strings: list[str], identifiers: list[str], false_rate: float = 1e-4) -> Models:
-    """Both models, and bounds that at most ``false_rate`` of the identifiers pass."""
+def _trained(random_strings: list[str], identifiers: list[str], false_rate: float) -> Models:
     ratio = _model(random_strings) - _model(identifiers)
     first = Models(ratio, 0.0, 0.0)
-    long = [first.score(s) for s in identifiers if len(s) >= 12] or [(0.0, 0.0)]
+    long = [first.score(s) for s in identifiers if len(s) >= SHORTEST] or [(0.0, 0.0)]
     rate = max(0.35, float(np.quantile([r for _, r in long], 1 - false_rate)) + 0.1)
     total = max(12.0, float(np.quantile([t for t, _ in long], 1 - false_rate)))
     return Models(ratio, total, rate)
 
 
+def train(random_strings: list[str], identifiers: list[str], false_rate: float = 1e-4) -> Models:
+    """Both models, and bounds that at most ``false_rate`` of the identifiers pass; then the
+    same for short runs, with numbers among the identifiers."""
+    names = [s for s in identifiers if s.isalpha()] or ["name"]
+    brief = _trained(random_strings, identifiers + numbers(random.Random(11), names), false_rate)
+    return replace(_trained(random_strings, identifiers, false_rate), brief=brief)
+
+
+def numbers(rng: random.Random, names: list[str], made: int = 4_000) -> list[str]:
+    """Clean runs that hold digits or marks: numbers, cards, telephones, times, paths, rules."""
+
+    def digits(n: int) -> str:
+        return "".join(rng.choices("0123456789", k=n))
+
+    def time() -> str:
+        return f"{rng.randint(1970, 2039)}{(d := rng.choice(('-', '/', '_', '')))}{rng.randint(1, 12):02}{d}{rng.randint(1, 28):02}{rng.choice(('T', '_', '-', '/'))}{digits(rng.choice((2, 4, 6)))}"
+
+    kinds = (
+        lambda: digits(rng.randint(12, 24)),
+        lambda: rng.choice("-/_").join(digits(rng.choice((2, 3, 4))) for _ in range(rng.randint(3, 6))),
+        lambda: f"+{digits(rng.randint(1, 3))}{rng.choice(('-', '/', ''))}{digits(3)}{rng.choice(('-', '/', ''))}{digits(rng.randint(6, 8))}",
+        time,
+        lambda: "/" * rng.randint(1, 2) + "/".join(rng.choice((rng.choice(names), digits(rng.randint(1, 6)))) for _ in range(rng.randint(2, 6))),
+        lambda: rng.choice(names) + rng.choice("-_=/") + digits(rng.randint(2, 10)),
+        lambda: rng.choice("=-_/+") * rng.randint(12, 80),
+    )
+    return [kinds[i % len(kinds)]() for i in range(made)]
+
+
 def labelled(texts: list[str], seed: int = 7, made: int = 4_000) -> tuple[list[str], list[str]]:
     """(random strings, identifiers) from a sample of texts."""
     rng = random.Random(seed)
@@ -140,7 +176,7 @@ def learned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def scan(text: str, models: Models | None) -> list[Span]:
     """All spans: the base ones, and random-looking runs that touch none of them."""
     base = base_spans(text)
-    if models is None or not long_word(text, 20):
+    if models is None or not long_word(text, SHORTEST):
         return base
     more = []
     for m in RUN.finditer(text):

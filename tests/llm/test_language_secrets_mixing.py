@@ -129,6 +129,21 @@ def test_markov_models_tell_random_from_names():
     assert secret_scan.redacted("abcdef", [("a", 0, 3), ("b", 2, 4)], "*") == "*ef"
 
 
+def test_short_runs_are_scored_too():
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["index", "vector", "parser", "handler", "session", "cluster", "network", "storage", "message"], k=200)) for _ in range(20)]
+    models = secret_scan.train(*secret_scan.labelled(texts))
+    for n in (12, 16, 19, 20):
+        keys = ["".join(rng.choices(secret_scan.ALPHABET[:62], k=n)) for _ in range(100)]
+        assert sum(secret_scan.redacted(f"the key {k} is new", secret_scan.scan(f"the key {k} is new", models)) == "the key [SECRET] is new" for k in keys) >= 95, n
+    clean = ["2026-11-26T12", "1700000000000", "4111111111111111", "4111-1111-1111-1111", "+49-170-1234567", "handler_session", "-" * 15, "=" * 19, "/index/2024/01/02"]
+    clean += ["".join(rng.choices("0123456789", k=rng.randint(12, 19))) for _ in range(300)]
+    assert [x for x in clean if secret_scan.scan(f"see {x} here", models)] == []
+    # short runs take nothing from the longer ones: they are judged by the models without numbers
+    groups = ["-".join("".join(rng.choices("0123456789abcdef", k=4)) for _ in range(6)) for _ in range(200)]
+    assert sum(map(models.secret, groups)) == sum(map(secret_scan.replace(models, brief=None).secret, groups)) >= 150
+
+
 def filled(sizes: dict, weights=(5.0, 2.0, 1.0), most=3.0):
     """Water filling by repeated sharing."""
     names = sorted((n for n in sizes if n is not None)) + [None] * (None in sizes)
