@@ -174,18 +174,31 @@ def learned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
 
 def scan(text: str, models: Models | None) -> list[Span]:
-    """All spans: the base ones, and random-looking runs that touch none of them."""
+    """All spans: the base ones, and the random-looking runs outside of them; of a run that
+    touches base spans, the parts that none covers are scored."""
     base = base_spans(text)
     if models is None or not long_word(text, SHORTEST):
         return base
     more = []
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if not any(x < b and a < y for _, x, y in base) and models.secret(m[0]):
-            more.append(("random", a, b))
+        for a, b in uncovered(*m.span(), base):
+            if b - a >= SHORTEST and models.secret(text[a:b]):
+                more.append(("random", a, b))
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def uncovered(a: int, b: int, spans: list[Span]) -> list[tuple[int, int]]:
+    """What of a to b lies in none of the spans, which are in order of start."""
+    out = []
+    for _, x, y in spans:
+        if x >= b:
+            break
+        if x > a:
+            out.append((a, x))
+        a = max(a, y)
+    return out + [(a, b)] * (a < b)
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
