@@ -8,8 +8,10 @@ language with the lowest cross-entropy per letter; ``score`` is the share of tha
 the softmax of the entropies.  A document is accepted unless its entropy lies far beyond what
 the training documents of its language show at that length (``calibrated`` below).
 
-Training takes a bounded sample: about ``sample_rows`` documents a language by a digest, the
-first ``sample_chars`` letters of each, of the ``most_langs`` most frequent languages.  Prediction reads every whole text and uses nothing
+Training takes a bounded sample of every language: about ``sample_rows`` documents by a digest,
+the first ``sample_chars`` letters of each.  Beyond ``most_langs`` languages both shrink in
+proportion (to 50 documents and 500 letters at least), so that the arrays, which have a column
+a language, stay as large as they are for so many.  Prediction reads every whole text and uses nothing
 but the text.  Texts that are null, empty or without letters are ``und`` with score 0 and are
 rejected; ties go to the language that sorts first.
 """
@@ -146,7 +148,9 @@ class Scorer:
     """Scores texts with a bounded memory of words already scored."""
 
     def __init__(self, model: Model, most: int = 200_000):
-        self.model, self.most = model, most
+        # rows hold a value a language: fewer words are kept, and scored at once, beyond 200 languages
+        self.model, self.most = model, min(most, max(5_000, 200 * most // max(1, len(model.langs))))
+        self.step = min(5_000, max(100, 1_000_000 // max(1, len(model.langs))))
         self.rows: dict[str, int] = {}
         self.values = np.zeros((0, len(model.langs)))
         self.filled = 0
@@ -164,8 +168,8 @@ class Scorer:
             grown = np.zeros((max(self.filled + len(fresh), min(self.most, 2 * len(self.values))), len(self.model.langs)), dtype=np.float32)
             grown[: self.filled] = self.values[: self.filled]
             self.values = grown
-        for i in range(0, len(fresh), 5_000):
-            part = fresh[i : i + 5_000]
+        for i in range(0, len(fresh), self.step):
+            part = fresh[i : i + self.step]
             self.values[self.filled : self.filled + len(part)] = self.model.words(part)
             self.rows.update(zip(part, range(self.filled, self.filled + len(part))))
             self.filled += len(part)
@@ -216,9 +220,11 @@ def held_out(id_col):
 def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 300, sample_chars: int = 8_000, order: int = 5, most_langs: int = 200) -> Model:
     """Models from a bounded sample of the labelled documents that are not held out."""
     rows = df.filter(df[lang_col].isNotNull() & df[text_col].isNotNull() & ~held_out(df[id_col]))
-    sizes = rows.groupBy(rows[lang_col].alias("k")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "k").limit(most_langs).collect()
+    sizes = rows.groupBy(rows[lang_col].alias("k")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "k").collect()
     if not sizes:
         return estimate({}, order)
+    fair = min(1.0, most_langs / len(sizes))
+    sample_rows, sample_chars = (max(min(n, least), int(n * fair)) for n, least in ((sample_rows, 50), (sample_chars, 500)))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.k, sample_rows / r.n)])
     # the same rows for the same table: a digest of id and text decides
     chance = F.pmod(F.xxhash64(F.lit("lang"), rows[id_col], rows[text_col]), F.lit(1 << 30)) / float(1 << 30)

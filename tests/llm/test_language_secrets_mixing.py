@@ -88,6 +88,18 @@ def test_rejection(spark):
     assert not langid.Scorer(model).predict([noise])[0][3]
 
 
+def test_every_label_is_learned(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    langs = sorted(r.lang for r in df.filter("lang is not null").select("lang").distinct().collect())
+    assert langid.trained(df, most_langs=2).langs == langs
+    # 210 labels, each with letters of its own
+    rows = [(9 * k + j, " ".join(chr(0x4E00 + 10 * k + (j + i) % 10) * 3 for i in range(12)), f"l{k:03}") for k in range(210) for j in range(9)]
+    many = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(2)
+    model = langid.trained(many)
+    assert len(model.langs) == 210
+    assert [p[0] for p in langid.Scorer(model).predict([t for _, t, _ in rows])] == [lang for *_, lang in rows]
+
+
 def brute_base(text: str):
     out = []
     for m in re.finditer(r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", text):
