@@ -10,7 +10,8 @@ read again as the next one's docs.  All but the last return the columns of docum
 4. mixing: documents are repeated or left out so that each source comes near its target;
 5. packing: token sequences of at most 2048 tokens, one row a piece.
 
-An empty table passes every stage; a null text is rejected by the first.
+An empty table passes every stage; a null text is rejected by the first.  Where no language can be
+learned (for instance all of lang is null) the first stage rejects only texts without letters.
 """
 
 from __future__ import annotations

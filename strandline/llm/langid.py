@@ -13,7 +13,7 @@ the first ``sample_chars`` letters of each.  Beyond ``most_langs`` languages bot
 proportion (to 50 documents and 500 letters at least), so that the arrays, which have a column
 a language, stay as large as they are for so many.  Prediction reads every whole text and uses nothing
 but the text.  Texts that are null, empty or without letters are ``und`` with score 0 and are
-rejected; ties go to the language that sorts first.
+rejected; if no language was learned all are ``und``, and those with letters are accepted; ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -184,7 +184,7 @@ class Scorer:
     def predict(self, texts: list[str], sharpness: float = 30.0) -> list[tuple[str, float, float, bool]]:
         """(language, score, cross-entropy a letter, accepted) of each text."""
         if not self.model.langs:
-            return [("und", 0.0, 0.0, False)] * len(texts)
+            return [("und", 0.0, 0.0, lettered(WORD.findall(t.lower()))) for t in texts]
         total, n = self.totals(texts)
         each = total / np.maximum(n, 1)[:, None]
         best = each.argmax(1)

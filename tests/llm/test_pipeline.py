@@ -27,6 +27,15 @@ def test_pipeline(spark, edges, nothing):
         assert df.columns[:3] == ["doc_id", "start", "length"]
 
 
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not there")
+def test_no_language_to_learn(spark):
+    import corpus_pipeline as C
+
+    rows = [(1, "plain words stay", None), (2, None, None), (3, "", None), (4, "12 _ 3", None), (5, "été", None), (6, "² ½", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in C.language_id(spark, docs, DATA).collect()) == [1, 5]
+
+
 def test_shared_folder(spark):
     from strandline.llm.common import dropped, shared_dir, written
 
