@@ -98,7 +98,12 @@ register(
     lambda spark, sf: texts(spark, sf).select("id", parse.masked(F.col("t")).alias("value")),
     f"SELECT id, regexp_replace(t, {_FENCE_SQL}, '__CODE__', 'g') AS value FROM {TEXTS_SQL}",
 )
-register("content_blocks", lambda spark, sf: parse.parsed_messages(inline(spark, [(1, "before\n```python\n  x = 1\n```\nafter\n~~~\ny\n~~~", None)], _SCHEMA)).select("index", "blocks"))
+register(
+    "content_blocks",
+    lambda spark, sf: parse.parsed_messages(
+        inline(spark, [(1, "before\n```python\n  x = 1\n```\nafter\n~~~\ny\n~~~", None)], _SCHEMA).unionByName(texts(spark, sf).select(F.col("id").alias("input_id"), F.col("t").alias("content"), F.lit(None).cast("string").alias("override")))
+    ).select("index", "blocks"),
+)
 
 # --- tree walk: pointer doubling against a recursive query
 NODES = [("t1", "a", None), ("t1", "b", "a"), ("t1", "c", "b"), ("t1", "x", "a"), *[("t2", str(i), str(i - 1) if i else None) for i in range(150)], ("t3", "p", "q"), ("t3", "q", None)]
@@ -167,16 +172,18 @@ for _name, _columns in {"titles": ["title"], "entities": ["entities"], "tags": [
 _FILLED = ["Can you please help me find the best hotels", "ok so let's break down the budget", "what about the visa?", "tell me about it if you want to", "plain text"]
 
 
-def _mapped(spark, f, rows: list) -> DataFrame:
+def _mapped(spark, f, rows: list, sf: str | None = None) -> DataFrame:
+    """``f`` of the inline rows and, with ``sf``, of all texts."""
     import pandas as pd
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"t": b["t"], "value": [str(f(x)) for x in b["t"]]})
+            yield pd.DataFrame({"t": b["t"], "value": [None if x is None else str(f(x)) for x in b["t"]]})
 
-    return inline(spark, [(x,) for x in rows], "t string").mapInPandas(run, "t string, value string")
+    found = inline(spark, [(x,) for x in rows], "t string")
+    return (found if sf is None else found.unionAll(texts(spark, sf).select("t"))).mapInPandas(run, "t string, value string")
 
 
-register("strip_filler", lambda spark, sf: _mapped(spark, titles.strip_filler, _FILLED))
-register("topic_kernel", lambda spark, sf: _mapped(spark, titles.topic_kernel, _FILLED))
+register("strip_filler", lambda spark, sf: _mapped(spark, titles.strip_filler, _FILLED, sf))
+register("topic_kernel", lambda spark, sf: _mapped(spark, titles.topic_kernel, _FILLED, sf))
 register("fuzzy_match", lambda spark, sf: _mapped(spark, lambda x: titles.fuzzy_match(*x.split("|")), ["carriibbean|caribbean", "barbados|barbado", "cat|dog", "planning|plans", "antigua|antiqua"]))
