@@ -200,7 +200,7 @@ def title_case(c: Column) -> Column:
     def word(w: Column, i: Column) -> Column:
         core, rest = _CASED.find(w, 1), _CASED.find(w, 2)
         low = F.lower(core)
-        raised = F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1 << 20), rest)
+        raised = F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.length(low)), rest)
         kept = ~_CASED.test(w) | _CAPS.test(core)
         return F.when(kept, w).when((i == 0) | ~F.array_contains(minor, low), raised).otherwise(F.concat(low, rest))
 
@@ -343,7 +343,7 @@ def render_template(template: Column, values: dict[str, Column]) -> Column:
 
     def part(p: Column) -> Column:
         name = F.substring_index(p, "\u0002", 1)
-        rest = F.substring(p, F.length(name) + 2, F.lit(1 << 20))
+        rest = F.substring(p, F.length(name) + 2, F.length(p))
         return F.when(F.instr(p, "\u0002") == 0, p).otherwise(F.concat(F.coalesce(F.element_at(known, name), F.concat(F.lit("{{"), name, F.lit("}}"))), rest))
 
     return F.array_join(F.transform(parts, part), "")
