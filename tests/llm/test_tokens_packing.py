@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from strandline.llm import packing, tokens
 from strandline.llm.queries import vocabulary
 
@@ -20,30 +22,85 @@ def library():
     return Tokenizer.from_file(vocabulary())
 
 
-def mixed_texts() -> list[str]:
+def mixed_texts(n: int) -> list[str]:
     rng = random.Random(3)
-    pool = [chr(c) for c in [*range(0x20, 0x250), *range(0x300, 0x460), *range(0x1E00, 0x2100), *range(0xAC00, 0xAC20), 0x1F600]]
-    return TEXTS + ["".join(rng.choices(pool, k=50)) for _ in range(400)]
+    wide = [chr(c) for c in [*range(0x20, 0x250), *range(0x300, 0x460), *range(0x1E00, 0x2100), *range(0xAC00, 0xAC20), 0x1F600]]
+    known = [c for c in wide if unicodedata.category(c) != "Cn"]
+    pools = [wide, known, known, "abcdexyz'rsl !1", "abcdefghijklmnopqrstuvwxyz ", "ate", "the and ing 's 're \n"]
+    return TEXTS + ["".join(rng.choices(pools[i % len(pools)], k=rng.randint(1, 80))) for i in range(n)]
 
 
 def test_counts_and_ids_are_the_library_s(library):
-    machine = tokens.Transducer(vocabulary(), max_states=200)  # the table is emptied again and again
-    texts = mixed_texts()
+    machine = tokens.Transducer(vocabulary())
+    texts = mixed_texts(10_000)
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    for i in range(0, len(texts), 50):
-        assert machine.counts(texts[i : i + 50]) == [len(w) for w in want[i : i + 50]]
-        assert [list(x) for x in machine.ids(texts[i : i + 50])] == want[i : i + 50]
+    assert machine.counts(texts) == [len(w) for w in want]
+    assert [list(x) for x in machine.ids(texts)] == want
+    # the states are dropped again and again
+    small = tokens.Transducer(vocabulary(), max_states=200)
+    for i in range(0, 600, 50):
+        assert small.counts(texts[i : i + 50]) == [len(w) for w in want[i : i + 50]]
 
 
-def test_chunk_maps_compose(library):
+def test_no_library_runs_but_for_unknown_code_points(monkeypatch, library):
+    machine = tokens.Transducer(vocabulary())
+    texts = ["plain words it's", "日本語 été", words(3, 500)]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(tokens.Transducer, "whole", property(lambda self: pytest.fail("the library was called")))
+    assert machine.counts(texts) == want and machine.by_library == 0
+
+
+def test_cutter_is_the_pattern():
+    cutter = tokens.Cutter(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"], chunk=16)
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
+    kind = {c: 3 for c in "ab"} | {c: 4 + i for i, c in enumerate(cutter.signs)} | {"1": 1, "!": 2, " ": 0}
+    rng = random.Random(1)
+    for n in [0, 1, 2, 15, 16, 17, *(rng.randint(1, 300) for _ in range(400))]:
+        text = "".join(rng.choices("ab1! '''srvletmd", k=n))
+        found = cutter.starts(np.array([kind[c] for c in text], dtype=np.uint8))
+        assert np.flatnonzero(found).tolist() == [m.start() for m in pattern.finditer(text)]
+
+
+def test_chunk_maps_compose_by_a_scan():
+    cutter = tokens.Cutter(["'s", "'re"])
+    x = np.random.default_rng(2).integers(0, 8, (5, 37)).astype(np.uint8)
+    maps = cutter.maps(x, ahead=2)
+    left = tokens.scan(maps)
+    for state in range(len(cutter.states)):
+        s = state << cutter.SHIFT
+        for i in range(x.shape[1]):
+            alone = [k << cutter.SHIFT for k in range(len(cutter.states))]
+            for c in x[:, i]:
+                s = int(cutter.next[s + c])
+                alone = [int(cutter.next[k + c]) for k in alone]
+            assert left[state, i] == s >> cutter.SHIFT and maps[:, i].tolist() == [k >> cutter.SHIFT for k in alone]
+
+
+def test_transitions_add_up(library):
+    machine = tokens.Transducer(vocabulary()).speller
+    for word in ("theatre", "internationalization", "zzzzzzzz", "aaaaaaaaa", "x"):
+        raw = np.frombuffer(word.encode(), dtype=np.uint8)
+        states = machine.walk(raw, np.array([len(raw)]))
+        together = machine.walk(np.tile(raw, 20), np.full(20, len(raw)))
+        assert states.tolist() == together[: len(raw)].tolist()
+        assert sum(machine.adds[s] for s in states) == len(library.encode(word, add_special_tokens=False).ids)
+
+
+def test_equal_hashes_of_different_words(monkeypatch):
+    monkeypatch.setattr(tokens, "mix64", lambda x: np.zeros(len(x), dtype=np.uint64))
+    letters = np.frombuffer("abxyabxyq".encode("utf-32-le"), dtype="<u4")
+    first, length = np.array([0, 2, 4, 6, 8]), np.array([2, 2, 2, 2, 1])
+    which, example = tokens._distinct(letters, first, length)
+    spelled = [letters[first[e] : first[e] + length[e]].tolist() for e in example[which]]
+    assert spelled == [letters[a : a + n].tolist() for a, n in zip(first, length)]
+
+
+def test_very_long_texts(library):
     machine = tokens.Transducer(vocabulary())
-    for text in [words(1, 300), "no-blanks" * 50, "a b", "", "  x  "]:
-        n = len(library.encode(text, add_special_tokens=False).ids)
-        for size in (1, 3, 17, 1000):
-            assert machine.chunked(machine.normal(text), size) == n
-        assert machine.counts([text], chunk_chars=10) == [n]
-    a, b, c = (machine.chunk(x) for x in ("ab c", "de", "f gh"))
-    assert machine.join(machine.join(a, b), c) == machine.join(a, machine.join(b, c))
+    texts = [words(1, 700_000), "q" * 300_000, "ab" * 600_000 + " c", "été " * 300_000]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert machine.counts(texts) == [len(w) for w in want]
+    assert [x.tolist() for x in machine.ids(texts)] == want
 
 
 def test_counts_of_edge_rows(edges, nothing, library):
