@@ -236,6 +236,7 @@ class Speller:
             if above[node]:
                 self.fail[node] = self._goto(self.fail[above[node]], symbol[node])
         self.fits: dict[tuple[int, int], bool] = {}
+        self.spines: dict[int, list[tuple[int, int]]] = {}
         self.max_states = max_states
         self.forget()
 
@@ -260,11 +261,14 @@ class Speller:
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of a token from its single byte up, each with the rank that makes it."""
-        out = []
-        while token in self.parts:
-            out.append((token, self.parts[token][2]))
-            token = self.parts[token][side]
-        return [(token, -1), *reversed(out)]
+        known = self.spines.get(token << 1 | side)
+        if known is None:
+            out, at = [], token
+            while at in self.parts:
+                out.append((at, self.parts[at][2]))
+                at = self.parts[at][side]
+            known = self.spines[token << 1 | side] = [(at, -1), *reversed(out)]
+        return known
 
     def fit(self, a: int, b: int) -> bool:
         """Whether tokens a, b stand side by side: at no time would a merge across their border come
@@ -376,7 +380,7 @@ class Speller:
             states[b + p : e] = self._alone(raw[b + p : e].tobytes(), int(s[k]))
         return states
 
-    def spell(self, raw: np.ndarray, size: np.ndarray, with_ids: bool, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    def spell(self, raw: np.ndarray, size: np.ndarray, with_ids: bool, step: int = 1 << 18, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Token counts of pre-tokens that lie side by side and, if wanted, their ids."""
         counts, ids = [], []
         edge = np.concatenate([[0], np.cumsum(size)])
@@ -384,7 +388,7 @@ class Speller:
         while i < len(size):
             j = max(i + 1, int(np.searchsorted(edge, edge[i] + step, "right")) - 1)
             part = size[i:j]
-            states = self.walk(raw[edge[i] : edge[j]], part)
+            states = self.walk(raw[edge[i] : edge[j]], part, few)
             begin = np.cumsum(part) - part
             n = np.add.reduceat(np.array(self.adds, dtype=np.int64)[states], begin)
             counts.append(n)
@@ -394,12 +398,18 @@ class Speller:
                 out = np.zeros(int(n.sum()), dtype="<u4")
                 at, to = begin + part, np.cumsum(n) - 1
                 open_ = np.arange(len(part))
-                while len(open_):
+                while len(open_) > few:
                     token = last[states[at[open_] - 1]]
                     out[to[open_]] = token
                     at[open_] -= self.length[token]
                     to[open_] -= 1
                     open_ = open_[at[open_] > begin[open_]]
+                for k in open_.tolist():
+                    own, x, y, b = states[begin[k] : at[k]].tolist(), int(at[k] - begin[k]), int(to[k]), self.last
+                    while x > 0:
+                        out[y] = b[own[x - 1]]
+                        x -= int(self.length[out[y]])
+                        y -= 1
                 ids.append(out)
             i = j
         return np.concatenate(counts or [np.zeros(0, dtype=np.int64)]), np.concatenate(ids or [np.zeros(0, dtype="<u4")])

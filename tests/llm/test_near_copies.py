@@ -110,7 +110,7 @@ def brute_spans(rows):
     """Removed bytes by definition."""
     first: dict[bytes, int] = {}
     out = []
-    for k, t in sorted(rows, key=lambda r: r[0]):
+    for k, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
         raw = (t or "").encode()
         for p in range(len(raw) - 49):
             first.setdefault(raw[p : p + 50], k)
@@ -129,6 +129,7 @@ def brute_spans(rows):
 def test_spans_against_brute_force(spark, edges, nothing):
     more = near_group(60) + [(2000 + i, words(i, 20) + " " + "common passage that many documents of the table share word for word " + words(i + 500, 20)) for i in range(40)]
     more += [(3000, "ab" * 100), (3001, "x" + "ab" * 80), (3002, "z" * 49), (3003, "z" * 50), (3004, "z" * 50), (3005, "z" * 51)]
+    more += [(3010, words(900, 40)), (3010, words(901, 40)), (3011, words(901, 40)), (3012, words(900, 40) + " end")]  # two texts of one id
     df = edges.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"), allowMissingColumns=True).repartition(5)
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     got = suffixes.dedup_spans(df, with_text=True).collect()
@@ -152,19 +153,70 @@ def test_least_ids_by_cover_ranks():
         want = {}
         for s, d in zip(starts, ids):
             want[text[s : s + 50]] = min(want.get(text[s : s + 50], d), d)
-        for bucket in (1 << 20, 64):  # one suffix bucket, and many
-            got = suffixes.least_ids(text, starts, ids, bucket)
+        for bucket, rounds in ((1 << 20, 3), (64, 3), (1 << 20, 0)):  # one range of heads, many, and all ties by every sample
+            got = suffixes.least_ids(np.frombuffer(text, dtype=np.uint8), starts, ids, bucket, rounds)
             assert got.tolist() == [want[text[s : s + 50]] for s in starts]
 
 
+def test_cover_ranks_are_the_order_of_the_bytes():
+    rng = random.Random(5)
+    text = bytes(rng.choices(b"ab", k=30)) * 20 + bytes(rng.choices(b"abc", k=400))
+    starts = np.arange(0, len(text) - 49, 3)
+    word = suffixes.words_at(np.frombuffer(text + b"\0" * 64, dtype=np.uint8), len(text))
+    rank = suffixes.cover_ranks(word, starts)
+    places = [p for p in range(len(text) - 37) if p % 13 in suffixes.COVER and any(s <= p < s + 13 for s in starts.tolist())]
+    parts = {p: text[p : p + 38] for p in places}
+    order = sorted(set(parts.values()))
+    assert [rank[p] for p in places] == [order.index(parts[p]) for p in places]
+    for a in range(13):
+        for b in range(13):
+            d = int(suffixes.MEET[a, b])
+            assert d <= 12 and (a + d) % 13 in suffixes.COVER and (b + d) % 13 in suffixes.COVER
+
+
+def test_head_and_tail_alike():
+    """Strings that differ only between the bytes sorted first and last, so samples must tell them apart."""
+    rng = random.Random(7)
+    texts = [b"h" * 12 + bytes(rng.choices(b"xy", k=3)).rjust(26, b"-") + b"t" * 12 for _ in range(200)]
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    got = suffixes.least_ids(raw, np.arange(200) * 50, np.arange(200))
+    assert got.tolist() == [texts.index(t) for t in texts]
+
+
+def test_long_runs_take_part_with_one_period(spark):
+    assert [suffixes.period(np.frombuffer(x, dtype=np.uint8)) for x in (b"a" * 200, b"abc" * 70, b"a" * 199 + b"b")] == [1, 3, 0]
+    texts = [(1, "=" * 2_000_000), (2, "x" + "=" * 1_000_000 + "y"), (3, "ab" * 6_000), (4, "ba" * 5_000 + "end of it"), (5, "=" * 49 + "!")]
+    got = suffixes.dedup_spans(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in got.collect()) == [(1, 0, 0), (2, 1_000_000, 1), (3, 0, 0), (4, 10_000, 1), (5, 0, 0)]
+
+
+def test_a_run_of_20_mb_is_bounded():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    raw = np.full(20 << 20, 61, dtype=np.uint8)
+    number, low, high, h = suffixes.anchors([raw.tobytes()])
+    assert len(h) < 6_000
+    length = high - low + 50
+    text = np.full(int(length.sum()), 61, dtype=np.uint8)
+    out = suffixes.gone(text, length, np.arange(len(h)) % 2, h)
+    want = np.repeat(np.arange(len(h)) % 2 == 1, high - low + 1)
+    assert (out == want).all()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000
+
+
 def test_every_long_string_elects_a_gram():
     rng = random.Random(6)
     texts = [bytes(rng.choices(b"abc", k=rng.randint(0, 400))) for _ in range(30)] + [b"a" * 300]
-    number, place, low, high, _ = suffixes.anchors(texts)
+    number, low, high, gram = suffixes.anchors(texts)
+    elected = {}
     for i, t in enumerate(texts):
-        mine = [(a, b, p) for k, p, a, b in zip(number, place, low, high) if k == i]
+        mine = [(a, b, g) for k, a, b, g in zip(number, low, high, gram) if k == i]
         assert sorted(s for a, b, _ in mine for s in range(a, b + 1)) == list(range(max(0, len(t) - 49)))
-        assert all(a <= p and p + suffixes.GRAM <= a + 50 and p + suffixes.GRAM <= b + 50 and p >= b for a, b, p in mine)
+        for a, b, g in mine:
+            for s in range(a, b + 1):
+                assert elected.setdefault(t[s : s + 50], g) == g  # equal strings elect equal grams
+    assert (number == 30).sum() == 1  # a run is one stretch
 
 
 def test_vectors_against_brute_force(spark):
