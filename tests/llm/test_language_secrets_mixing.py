@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from strandline.llm import langid, mixing, queries, secret_scan
@@ -41,43 +44,66 @@ def test_texts_without_letters():
     assert [g[0] for g in got] == ["und", "und", "a", "und", "a"]
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    counts = {"a": {"aba": 3, "abb": 1, "ba": 2}, "b": {"ccc": 2}}
-    model = langid.estimate(counts, 3)
-    import numpy as np
-
-    letters = "abc "
-    # after each history the letters seen, an end and the unseen share the whole mass
-    for word in ("a", "ab", "b", "ba", "aa"):
-        base = model.words([word])[0]
-        total = np.zeros(2)
-        for c in letters.strip():
-            with_c = model.words([word + c])[0]
-            end_after = _end(model, word + c)
-            total += np.exp(with_c - end_after - (base - _end(model, word)))
-        total += np.exp(_end(model, word))
-        assert (total <= 1 + 1e-9).all() and (total > 0.7).all()
-
-
-def _end(model, word):
-    """log P(end | word), by taking the letters away."""
-    import numpy as np
-
-    c, place, start = langid.stream([word])
-    h = langid.hashes(c, model.order)
-    p = np.full(len(model.langs), 1.0 / model.letters)
-    i = len(c) - 1
-    for k in range(1, model.order + 1):
-        if place[i] < max(1, k - 1):
-            continue
-        ctx = h[k - 2][i - 1] if k > 1 else np.uint64(0)
-        above, weight = model.contexts[k - 1]
-        keys, value = model.grams[k - 1]
-        if (at := np.searchsorted(above, ctx)) < len(above) and above[at] == ctx:
-            p = p * weight[at]
-            if (j := np.searchsorted(keys, h[k - 1][i])) < len(keys) and keys[j] == h[k - 1][i]:
-                p = p + value[j]
-    return np.log(p)
+def brute_kneser_ney(counts: dict[str, int], order: int, letters: int):
+    """P(letter | history) by the textbook formulas on strings; words stand between two blanks."""
+    full: collections.Counter = collections.Counter()
+    for w, n in counts.items():
+        text = f" {w} "
+        for i in range(1, len(text)):
+            for k in range(1, order + 1):
+                if i - k + 1 >= 0:
+                    full[text[i - k + 1 : i + 1]] += n
+    grams = {k: {g: n for g, n in full.items() if len(g) == k} for k in range(1, order + 1)}
+    number: dict[int, dict[str, float]] = {order: grams[order]}
+    for k in range(1, order):
+        # kinds of letters before a gram; one at the start of a word has none and keeps its count
+        kinds = collections.Counter(g[1:] for g in grams[k + 1])
+        number[k] = {g: kinds[g] + (n if k > 1 and g[0] == " " else 0) for g, n in grams[k].items()}
+
+    def p(c: str, history: str, k: int) -> float:
+        if k == 0:
+            return 1 / letters
+        h = history[len(history) - k + 1 :] if k > 1 else ""
+        if len(h) < k - 1:
+            return p(c, history, k - 1)
+        below = p(c, history, k - 1)
+        mine = {g: n for g, n in number[k].items() if g[:-1] == h}
+        if not mine:
+            return below
+        values = list(number[k].values())
+        n1, n2 = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        d = min(0.9, max(0.1, n1 / max(1, n1 + 2 * n2)))
+        total = sum(mine.values())
+        return max(mine.get(h + c, 0) - d, 0) / total + sum(min(v, d) for v in mine.values()) / total * below
+
+    return p
+
+
+def test_kneser_ney_against_its_formulas():
+    counts = {"a": {"aba": 3, "abb": 1, "ba": 2, "b": 5}, "b": {"ccc": 2, "cab": 1, "zz": 4}}
+    for order in (1, 2, 3, 5):
+        model = langid.estimate(counts, order)
+        letters = len("abcz") + 2  # and the end, and a letter never seen
+        assert model.letters == letters
+        for i, lang in enumerate(model.langs):
+            p = brute_kneser_ney(counts[lang], order, letters)
+            for history in (" ", " a", " ab", " ba", " zz", " q", " cab"):
+                assert abs(sum(p(c, history, order) for c in "abcz ?") - 1) < 1e-9
+            for word in ("aba", "abc", "zab", "q", "bbbbbb", "cabz"):
+                text = f" {word} "
+                want = sum(math.log(p(text[k], text[:k], order)) for k in range(1, len(text)))
+                assert abs(model.words([word])[0][i] - want) < 1e-5
+
+
+def test_calibration_is_on_documents_kept_out():
+    counts = {"a": collections.Counter({w: 3 for w in ("anna", "nana", "banana", "nab")}), "b": collections.Counter({w: 3 for w in ("zoo", "ooze", "zero", "roo")})}
+    model = langid.calibrated(langid.estimate(counts), [("a", "banana anna nab " * 5), ("a", "nana banana " * 9), ("b", "zoo ooze zero " * 5), ("b", "roo zero zoo " * 4)])
+    entropy = -langid.Scorer(model).totals(["nana banana " * 9])[0][0, 0] / (13 * 9)
+    assert min(model.usual) > 0 and abs(entropy - model.usual[0]) < 0.3
+    assert all(model.excess > 0.5) and np.isfinite(model.bound).all()
+    alone = langid.calibrated(langid.estimate({"a": counts["a"]}), [("a", "banana " * 9)])
+    assert np.isinf(alone.bound).all()  # one document gives no bound: nothing is rejected
+    assert langid.Scorer(alone).predict(["qqq www " * 50])[0][3]
 
 
 def test_rejection(spark):
@@ -88,16 +114,19 @@ def test_rejection(spark):
     assert not langid.Scorer(model).predict([noise])[0][3]
 
 
-def test_every_label_is_learned(spark):
+def test_every_label_is_learned_in_bounded_memory(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     langs = sorted(r.lang for r in df.filter("lang is not null").select("lang").distinct().collect())
-    assert langid.trained(df, most_langs=2).langs == langs
-    # 210 labels, each with letters of its own
-    rows = [(9 * k + j, " ".join(chr(0x4E00 + 10 * k + (j + i) % 10) * 3 for i in range(12)), f"l{k:03}") for k in range(210) for j in range(9)]
+    assert langid.trained(df, sample_letters=10_000).langs == langs
+    # 300 labels, each with letters of its own
+    rows = [(9 * k + j, " ".join(chr(0x4E00 + 10 * k + (j + i) % 10) * 3 for i in range(12)), f"l{k:03}") for k in range(300) for j in range(9)]
     many = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(2)
     model = langid.trained(many)
-    assert len(model.langs) == 210
+    assert len(model.langs) == 300
     assert [p[0] for p in langid.Scorer(model).predict([t for _, t, _ in rows])] == [lang for *_, lang in rows]
+    entries = sum(len(p.lang) for p in model.grams)
+    assert entries < 300 * 500 and model.nbytes < 20 * 2 * entries + 10_000  # a gram holds only the languages that know it
+    assert langid.trained(many, sample_letters=100_000, most_bytes=model.nbytes - 1).nbytes < model.nbytes
 
 
 def brute_base(text: str):
