@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..sources.shared import cut
 from . import segments as S
 
 
@@ -93,7 +94,7 @@ def segmented(messages: DataFrame, generate: Callable[[str], str], granularity:
                     out.append((conv, None, None, None, None, None, None, "failed"))
             yield pd.DataFrame(out, columns=names).astype({"seg_no": "Int32", "start_index": "Int32", "end_index": "Int32"})
 
-    answered = rows.join(walks, "conv_id").mapInPandas(run, schema)
+    answered = cut(rows.join(walks, "conv_id").mapInPandas(run, schema))  # the model is asked once
     failed = answered.filter("method = 'failed'").select("conv_id")
     scored = S.segments(messages.join(failed, "conv_id", "left_semi"), granularity).select("conv_id", "seg_no", "start_index", "end_index", "confidence", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("summary"), F.lit("heuristic").alias("method"))
     return answered.filter("method = 'model'").unionByName(scored)

@@ -1,42 +1,65 @@
 """Selection of boundaries under size minima, segments, and edits of segments.
 
-The greedy selection is a fold over a conversation's candidates in order of score; its state is
-the sorted array of accepted starts, and prefix sums make each size check constant work.
+A conversation's candidates are taken in order of score, and each must leave two halves that meet the
+minima.  That order is sequential, so it is a function over one conversation's arrays, mapped over Arrow
+batches: accepted starts are kept sorted and found by bisection, prefix sums make a size check constant work.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from ..functions import rules as R
 from ..functions import text as T
 from . import signals
 
 
-def _accept(order: Column, start: Column, words: Column, least_messages: int, least_words: int) -> Column:
-    """Folds starts into an accepted array that has 0 and the end as sentinels.
+@F.pandas_udf(ArrayType(IntegerType()))
+def _accept(order: pd.Series, start: pd.Series, words: pd.Series, least_messages: pd.Series, least_words: pd.Series) -> pd.Series:
+    """The sorted starts accepted from ``order`` on top of ``start``, which has 0 and the end as sentinels.
 
     Accepted segments meet the minima already, so only the two halves of a cut are checked."""
 
-    def one(acc: Column, b: Column) -> Column:
-        low = F.array_max(F.filter(acc, lambda x: x < b))
-        high = F.array_min(F.filter(acc, lambda x: x > b))
-        at = lambda i: F.element_at(words, i + 1)
-        fits = (b - low >= least_messages) & (high - b >= least_messages) & (at(b) - at(low) >= least_words) & (at(high) - at(b) >= least_words)
-        return F.when(F.coalesce(fits, F.lit(False)) & ~F.array_contains(acc, b), F.array_sort(F.array_append(acc, b))).otherwise(acc)
+    def one(order, start, words, least_messages, least_words) -> list[int]:
+        taken = [int(x) for x in start]
+        for b in map(int, order):
+            at = bisect_left(taken, b)
+            if at == 0 or at == len(taken) or taken[at] == b:
+                continue
+            low, high = taken[at - 1], taken[at]
+            if min(b - low, high - b) >= least_messages and words[b] - words[low] >= least_words and words[high] - words[b] >= least_words:
+                insort(taken, b)
+        return taken
+
+    return pd.Series([one(*x) for x in zip(order, start, words, least_messages, least_words)])
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _confidences(cuts: pd.Series, index: pd.Series, score: pd.Series) -> pd.Series:
+    """The score at each start of a segment; 1 at the first and where it is 0 or missing."""
+
+    def one(cuts, index, score) -> list[float]:
+        known = dict(zip(index, score))
+        return [1.0 if c == 0 else float(known.get(c) or 1.0) for c in cuts[:-1]]
 
-    return F.aggregate(order, start, one)
+    return pd.Series([one(*x) for x in zip(cuts, index, score)])
 
 
 def conversation_arrays(messages: DataFrame, scores: DataFrame) -> DataFrame:
     """Per conversation: n, words (prefix sums from 0), has_user and cands (best first)."""
-    counted = messages.groupBy("conv_id").agg(
+    upto = F.sum(T.word_count(F.col("text"))).over(signals.by_turn().rowsBetween(Window.unboundedPreceding, 0))
+    counted = messages.select("conv_id", "index", "role", upto.cast("int").alias("upto")).groupBy("conv_id").agg(
         F.count("*").cast("int").alias("n"),
         F.max(F.col("role") == "user").alias("has_user"),
-        F.array_sort(F.collect_list(F.struct("index", T.word_count(F.col("text")).alias("w")))).alias("sizes"),
+        F.array_sort(F.collect_list(F.struct("index", "upto"))).alias("sizes"),
     )
-    prefix = F.aggregate("sizes", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["w"]))
+    prefix = F.concat(F.array(F.lit(0)), F.transform("sizes", lambda x: x["upto"]))
     ranked = scores.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("index").cast("int").alias("index"), "score"))).alias("cands"))
     return counted.withColumn("words", prefix).drop("sizes").join(ranked, "conv_id", "left").withColumn("cands", F.coalesce("cands", F.array().cast("array<struct<less:double,index:int,score:double>>")))
 
@@ -44,7 +67,7 @@ def conversation_arrays(messages: DataFrame, scores: DataFrame) -> DataFrame:
 def greedy(arrays: DataFrame, threshold: float, least_messages: int, least_words: int) -> DataFrame:
     """Adds accepted: the starts that the first pass takes, with sentinels 0 and n."""
     good = F.transform(F.filter("cands", lambda c: c["score"] >= threshold), lambda c: c["index"])
-    return arrays.withColumn("accepted", _accept(good, F.array(F.lit(0), F.col("n")), F.col("words"), least_messages, least_words))
+    return arrays.withColumn("accepted", _accept(good, F.array(F.lit(0), F.col("n")), F.col("words"), F.lit(least_messages), F.lit(least_words)))
 
 
 def fallback(chosen: DataFrame, least_messages: int) -> DataFrame:
@@ -53,10 +76,10 @@ def fallback(chosen: DataFrame, least_messages: int) -> DataFrame:
     long_ = n >= least_messages * 3
     expected = F.greatest(F.lit(2), F.floor(n / 2))
     room = F.greatest(F.lit(2), F.floor(n / 3)) - 1 - taken
-    rest = F.transform(F.filter("cands", lambda c: ~F.array_contains(F.col("accepted"), c["index"])), lambda c: c["index"])
-    some = F.slice(rest, F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
+    rest = F.array_except(F.transform("cands", lambda c: c["index"]), F.col("accepted"))
     again = long_ & ((taken == 0) | (taken + 1 < expected / 2))
-    return chosen.withColumn("final", F.when(again, _accept(some, F.col("accepted"), F.col("words"), *R.RELAXED)).otherwise(F.col("accepted")))
+    some = F.when(again, F.slice(rest, F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return chosen.withColumn("final", _accept(some, F.col("accepted"), F.col("words"), *map(F.lit, R.RELAXED)))
 
 
 def segments(messages: DataFrame, granularity: str = "fine", weights: dict[str, float] | None = None) -> DataFrame:
@@ -65,12 +88,11 @@ def segments(messages: DataFrame, granularity: str = "fine", weights: dict[str,
     arrays = conversation_arrays(messages, signals.boundary_scores(messages, weights))
     out = fallback(greedy(arrays, threshold, least_messages, least_words), least_messages)
     cuts = F.when((F.col("n") < 2) | ~F.col("has_user"), F.array(F.lit(0), F.col("n"))).otherwise(F.col("final"))
-    scores = F.map_from_entries(F.transform("cands", lambda c: F.struct(c["index"], c["score"])))
-    out = out.withColumn("cuts", cuts).withColumn("scores", scores)
-    out = out.select("conv_id", "cuts", "scores", F.posexplode(F.slice("cuts", F.lit(1), F.size("cuts") - 1)).alias("pos", "start_index"))
-    # a score of exactly 0 counts as none
-    confidence = F.when(F.col("start_index") == 0, 1.0).otherwise(F.coalesce(F.nullif(F.element_at("scores", F.col("start_index")), F.lit(0.0)), F.lit(1.0)))
-    return out.select("conv_id", (F.col("pos") + 1).alias("seg_no"), "start_index", (F.element_at("cuts", F.col("pos") + 2) - 1).alias("end_index"), confidence.alias("confidence"))
+    out = out.withColumn("cuts", cuts)
+    known = _confidences("cuts", F.transform("cands", lambda c: c["index"]), F.transform("cands", lambda c: c["score"]))
+    parts = F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("a"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("b"), known.alias("c"))
+    out = out.select("conv_id", F.posexplode(parts).alias("pos", "x"))
+    return out.select("conv_id", (F.col("pos") + 1).alias("seg_no"), F.col("x.a").alias("start_index"), (F.col("x.b") - 1).alias("end_index"), F.col("x.c").alias("confidence"))
 
 
 def assigned(messages: DataFrame, segs: DataFrame) -> DataFrame:
@@ -116,24 +138,31 @@ def renamed(segs: DataFrame, conv_id: int, seg_no: int, title: str) -> DataFrame
 # --- chunks of a conversation for a language model
 
 
+@F.pandas_udf(ArrayType(StructType().add("s", IntegerType()).add("e", IntegerType())))
+def _walk(lengths: pd.Series, target: pd.Series, overlap: pd.Series, compat: pd.Series) -> pd.Series:
+    """Starts and ends of the chunks of messages with the given numbers of letters."""
+
+    def one(lengths, target, overlap, compat) -> list[tuple[int, int]]:
+        upto, n = np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))]), len(lengths)
+        if upto[-1] <= target:
+            return [(0, n)]
+        out, start, last = [], 0, -1
+        while start > last and (not out or out[-1][1] < n):
+            end = min(n, max(start + 1, int(np.searchsorted(upto, upto[start] + target))))
+            out.append((start, end))
+            last, start = start, end - overlap
+            if start <= last and not compat:
+                start = end
+        return out
+
+    return pd.Series([one(*x) for x in zip(lengths, target, overlap, compat)])
+
+
 def chunks(messages: DataFrame, target: int = 12_000, overlap: int = 4, compat: bool = False) -> DataFrame:
     """conv_id, chunk_no, start_index, end_index: runs of about ``target`` letters that overlap.
 
     A chunk of no more than ``overlap`` messages would end the walk and lose the rest
     (``compat=True`` keeps that); otherwise the walk goes on behind it."""
     sizes = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("index", F.length("text").alias("c")))).alias("m"))
-    prefix = F.aggregate("m", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["c"]))
-    sizes = sizes.withColumn("n", F.size("m")).withColumn("p", prefix)
-    # ends[i]: first place at which the letters from i on reach the target
-    ends = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.array_min(F.filter(F.sequence(i + 1, F.col("n")), lambda j: F.element_at(F.col("p"), j + 1) - F.element_at(F.col("p"), i + 1) >= target)), F.col("n")))
-    walk = F.array(F.struct(F.lit(0).alias("s"), F.when(F.element_at("p", -1) <= target, F.col("n")).otherwise(F.element_at("ends", 1)).alias("e")))
-
-    def step(acc: Column, _: Column) -> Column:
-        last = F.element_at(acc, -1)
-        back = last["e"] - overlap
-        start = back if compat else F.when(back > last["s"], back).otherwise(last["e"])
-        more = (last["e"] < F.col("n")) & (start > last["s"])
-        return F.when(more, F.array_append(acc, F.struct(start.cast("int").alias("s"), F.element_at(F.col("ends"), start + 1).alias("e")))).otherwise(acc)
-
-    sizes = sizes.withColumn("ends", ends).withColumn("walk", F.aggregate(F.sequence(F.lit(1), F.col("n")), walk, step))
-    return sizes.select("conv_id", F.posexplode("walk").alias("k", "x")).select("conv_id", (F.col("k") + 1).alias("chunk_no"), F.col("x.s").alias("start_index"), (F.col("x.e") - 1).alias("end_index"))
+    walk = _walk(F.transform("m", lambda x: x["c"]), F.lit(target), F.lit(overlap), F.lit(compat))
+    return sizes.select("conv_id", F.posexplode(walk).alias("k", "x")).select("conv_id", (F.col("k") + 1).alias("chunk_no"), F.col("x.s").alias("start_index"), (F.col("x.e") - 1).alias("end_index"))

@@ -68,16 +68,25 @@ SIGNALS = ("transition", "domain", "vocabulary", "temporal", "self_contained", "
 
 
 def boundary_scores(messages: DataFrame, weights: dict[str, float] | None = None, window: int = R.WINDOW) -> DataFrame:
-    """conv_id, index, the six signals and score of each candidate; the sum has a fixed order."""
-    weights = weights or R.CHAT_WEIGHTS
+    """conv_id, index, the six signals and score of each candidate; the sum has a fixed order.
+
+    Without ``weights`` a row whose ``content_type`` is document is scored by the weights of documents."""
+    typed = weights is None and "content_type" in messages.columns
     w = context_windows(messages, window)
     answered = F.col("prev_role") == "assistant"
     w = w.withColumn("transition", T.transition(F.col("text"))).withColumn("reintroduction", T.reintroduction(F.col("text")))
     w = w.withColumn("self_contained", F.when(answered, T.self_contained(F.col("prev_text"), F.col("text"))).otherwise(0.0))
     w = w.withColumn("temporal", F.coalesce(temporal_gap(F.col("prev_ts"), F.col("ts")), F.lit(0.0)) if "ts" in messages.columns else F.lit(0.0))
-    kept = ("transition", "reintroduction", "self_contained", "temporal")
+    kept = ("transition", "reintroduction", "self_contained", "temporal", *(["content_type"] if typed else []))
     out = shifts(term_counts(w, *kept), *kept)
-    score = F.lit(0.0)
-    for s in SIGNALS:
-        score = score + F.col(s) * F.lit(weights[s])
+
+    def total(by: dict[str, float]) -> Column:
+        score = F.lit(0.0)
+        for s in SIGNALS:
+            score = score + F.col(s) * F.lit(by[s])
+        return score
+
+    score = total(weights or R.CHAT_WEIGHTS)
+    if typed:
+        score = F.when(F.coalesce(F.col("content_type") == "document", F.lit(False)), total(R.DOCUMENT_WEIGHTS)).otherwise(score)
     return out.select("conv_id", "index", *SIGNALS, score.alias("score"))

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
-def walk(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """conv_id, depth, node_id from each conversation's leaf up to its root.
+@F.pandas_udf(ArrayType(StringType()))
+def _path(nodes: pd.Series, parents: pd.Series, leaves: pd.Series) -> pd.Series:
+    def one(nodes, parents, leaf) -> list[str]:
+        parent, out, seen = dict(zip(nodes, parents)), [], set()
+        while leaf is not None and leaf in parent and leaf not in seen:
+            seen.add(leaf)
+            out.append(leaf)
+            leaf = parent[leaf]
+        return out
+
+    return pd.Series([one(*x) for x in zip(nodes, parents, leaves)])
 
-    A conversation's pointers become one map and the path is a fold over it: one shuffle by
-    conversation, whatever the depth.  A missing parent or a cycle ends the walk."""
-    maps = nodes.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "parent_id"))).alias("parent"))
-    both = maps.join(leaves, "conv_id").filter(F.map_contains_key("parent", F.col("node_id")))
 
-    def up(path, _):
-        to = F.element_at(F.col("parent"), F.element_at(path, -1))
-        on = to.isNotNull() & F.map_contains_key("parent", F.coalesce(to, F.lit(""))) & ~F.array_contains(path, F.coalesce(to, F.lit("")))
-        return F.when(on, F.array_append(path, to)).otherwise(path)
+def walk(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """conv_id, depth, node_id from each conversation's leaf up to its root.
 
-    path = F.aggregate(F.sequence(F.lit(1), F.size("parent")), F.array("node_id"), up)
-    return both.select("conv_id", F.posexplode(path).alias("depth", "node_id"))
+    A conversation's pointers are walked by lookups in one task, in time linear in the depth: one
+    shuffle by conversation.  A missing parent or a cycle ends the walk."""
+    all_ = nodes.groupBy("conv_id").agg(F.collect_list(F.struct("node_id", "parent_id")).alias("n"))
+    pick = lambda name: F.transform("n", lambda x: x[name])
+    path = _path(pick("node_id"), pick("parent_id"), F.col("node_id"))
+    return all_.join(leaves, "conv_id").select("conv_id", F.posexplode(path).alias("depth", "node_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.dialect import trim, trim_sql
+from ..operators.paths import resolved
 from .fixtures import MESSAGES_SQL, TEXTS_SQL, inline, inline_sql, joined, joined_sql, messages, texts
 from .base import read, register
 from .relations import ALL_MESSAGES_SQL, ASSIGNED_SQL, all_messages, assigned
@@ -296,23 +297,3 @@ register(
               UNION ALL SELECT p.k, list_append(f.used, x.name), p.ord, x.name FROM f JOIN p ON p.k = f.k + 1, LATERAL (SELECT list_filter(list_prepend(p.path, list_transform(range(2, 20), lambda n: regexp_replace(p.path, '\\.md$', '') || ' (' || n || ').md')), lambda c: NOT list_contains(f.used, c))[1] AS name) x)
         SELECT ord, final FROM f WHERE k > 0""",
 )
-
-
-def resolved(paths: DataFrame, taken: DataFrame, rounds: int = 20) -> DataFrame:
-    """ord, final: the path, or its first free form ``name (2).md``, ``name (3).md`` ... in order.
-
-    Paths are dealt by their base name (without a number), so only those that can clash meet."""
-    base = lambda c: F.regexp_replace(F.regexp_replace(c, "\\.md\\z", ""), "( \\(\\d+\\))+\\z", "")
-    mine = paths.groupBy(base(F.col("path")).alias("base")).agg(F.array_sort(F.collect_list(F.struct("ord", "path"))).alias("p"))
-    theirs = taken.groupBy(base(F.col("path")).alias("base")).agg(F.collect_set("path").alias("used"))
-    both = mine.join(theirs, "base", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
-
-    def place(acc, x):
-        stem = F.regexp_replace(x["path"], "\\.md\\z", "")
-        numbers = F.sequence(F.lit(2), F.size(acc["used"]) + 2)
-        options = F.concat(F.array(x["path"]), F.transform(numbers, lambda n: F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(").md"))))
-        final = F.get(F.filter(options, lambda c: ~F.array_contains(acc["used"], c)), 0)
-        return F.struct(F.array_append(acc["used"], final).alias("used"), F.array_append(acc["out"], F.struct(x["ord"].alias("ord"), final.alias("final"))).alias("out"))
-
-    start = F.struct(F.col("used").alias("used"), F.array().cast("array<struct<ord:bigint,final:string>>").alias("out"))
-    return both.select(F.inline(F.aggregate("p", start, place, lambda acc: acc["out"])))

@@ -10,10 +10,13 @@ from ..functions import text as T
 from ..functions.dialect import quoted
 from ..operators import render
 from ..sources import sink
-from ..sources.shared import scratch
-from .documents import resolved, segment_summary
+from ..sources.parse import parsed_messages
+from ..sources.shared import cut, scratch
+from ..operators.paths import resolved
+from .documents import _docs, segment_summary
 from .fixtures import MESSAGES_SQL, TEXTS_SQL, inline, inline_sql, messages, texts
 from .base import register
+from .parsing import _inputs
 from .relations import ALL_MESSAGES_SQL, ASSIGNED_SQL, all_messages, assigned
 
 STYLES = ("callouts", "blockquotes", "bold", "plain")
@@ -134,5 +137,29 @@ def _written(spark, sf: str) -> DataFrame:
     return spark.read.parquet(at).groupBy("is_index").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"), F.sum(F.length("content")).alias("chars"))
 
 
+def imported(inputs: DataFrame, settings: Settings) -> DataFrame:
+    """Raw inputs (input_id, content, override) to notes: parsed, segmented (documents by their own
+    weights), rendered with time labels, paths made distinct.  Of inputs with one conversation id the
+    first is imported."""
+    parsed = cut(parsed_messages(inputs))
+    first = parsed.groupBy("conv_id").agg(F.min(F.struct("input_id", "conv_no")).alias("of"))
+    parsed = parsed.join(first, "conv_id").filter(F.struct("input_id", "conv_no") == F.col("of"))
+    stamp = F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")).alias("ts")
+    msgs = cut(parsed.select("conv_id", "of", "title", "source", "content_type", "created_at", "index", "role", "text", stamp, "blocks"))
+    convs = cut(msgs.groupBy("conv_id").agg(*[F.first(c).alias(c) for c in ("of", "title", "source", "content_type", "created_at")]))
+    made = cut(render.notes(msgs, convs, settings, segment_summary).join(convs.select("conv_id", "of"), "conv_id"))
+    keyed = made.withColumn("ord", F.struct("of", F.coalesce("seg_no", F.lit(1 << 30)).alias("seg"), "is_index"))
+    paths = resolved(keyed.select("ord", "path"), made.select("path").limit(0))
+    return keyed.join(paths, "ord").select("conv_id", "seg_no", "is_index", F.col("final").alias("path"), "content")
+
+
+def import_notes(spark, sf: str) -> DataFrame:
+    """The import as one query: the inline exports, pastes and files, and every document as a Markdown file."""
+    files = _docs(spark, sf).select((F.col("id") + 1_000).alias("input_id"), F.col("t").alias("content"), F.lit(None).cast("string").alias("override"))
+    settings = Settings(granularity="fine", show_timestamps=True, keep_full_transcript=True, naming_template="{{date}} {{topic}}")
+    return imported(_inputs(spark).unionByName(files), settings)
+
+
 register("notes", notes)
+register("import_notes", import_notes)
 register("write_notes", _written)

@@ -20,13 +20,13 @@ from .base import register
 
 TREE = [{"id": "c1", "title": "Tree", "current_node": "d", "create_time": 1700000000.5, "mapping": {
     "a": {"id": "a", "parent": None, "message": None},
-    "b": {"id": "b", "parent": "a", "message": {"author": {"role": "user"}, "content": {"content_type": "text", "parts": ["Hello there"]}}},
+    "b": {"id": "b", "parent": "a", "message": {"author": {"role": "user"}, "create_time": 1700000000.5, "content": {"content_type": "text", "parts": ["Hello there"]}}},
     "x": {"id": "x", "parent": "a", "message": {"author": {"role": "user"}, "content": {"parts": ["other branch"]}}},
-    "c": {"id": "c", "parent": "b", "message": {"author": {"role": "assistant"}, "content": {"content_type": "code", "parts": ["print(1)"]}}},
+    "c": {"id": "c", "parent": "b", "message": {"author": {"role": "assistant"}, "create_time": 1700000060, "metadata": {"model_slug": "m-1"}, "content": {"content_type": "code", "parts": ["print(1)"]}}},
     "d": {"id": "d", "parent": "c", "message": {"author": {"role": "user"}, "content": {"parts": [{"asset_pointer": "p"}, "see image"]}}},
 }}, {"id": "c2", "mapping": {"1": {"id": "1", "message": {"author": {"role": "user"}, "content": {"text": "only text"}}}, "2": {"id": "2", "message": {"author": {"role": "system"}, "content": {"parts": ["s"]}}}}}]
-FLAT = {"uuid": "f1", "name": "Flat", "chat_messages": [
-    {"sender": "human", "text": "Question one?"},
+FLAT = {"uuid": "f1", "name": "Flat", "created_at": "2024-02-29T23:30:00Z", "updated_at": "2024-03-01T01:00:00+01:00", "chat_messages": [
+    {"sender": "human", "text": "Question one?", "created_at": "2024-02-29T23:30:00.250Z", "attachments": [{"file_name": "a.txt", "file_type": "text/plain", "file_size": 3}, {}]},
     {"sender": "assistant", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "Answer"}, {"type": "tool_use"}]},
     {"sender": "system", "text": "x"}, {"sender": "human", "text": " "},
 ]}

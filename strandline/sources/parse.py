@@ -10,6 +10,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,9 +101,17 @@ class Parsed:
     conv_id: str | None = None
     title: str | None = None
     created_at: float | None = None
+    updated_at: float | None = None
     blocks: list[list[dict]] | None = None
+    stamps: dict[int, float | None] = field(default_factory=dict)  # epoch seconds of turns that have a time
+    meta: dict[int, dict] = field(default_factory=dict)  # model or attachments of turns
     warnings: list[str] = field(default_factory=list)
 
+    def add(self, role: str, text: str, blocks: list[dict], stamp: float | None, meta: dict) -> None:
+        self.stamps[len(self.turns)], self.meta[len(self.turns)] = stamp, meta
+        self.turns.append((role, text))
+        self.blocks.append(blocks)
+
 
 def _filled(turns: list[Turn], code: list[str], out: Parsed) -> Parsed:
     """Keeps turns with text, their code put back."""
@@ -279,8 +288,22 @@ def _tree_blocks(message: dict) -> list[dict]:
     return out
 
 
+def _seconds(stamp) -> float | None:
+    """Epoch seconds of a number or an ISO date; dates without a zone and what cannot be read count as UTC
+    and as none."""
+    if isinstance(stamp, (int, float)) and not isinstance(stamp, bool):
+        return float(stamp) or None
+    if not isinstance(stamp, str):
+        return None
+    try:
+        at = datetime.fromisoformat(stamp)
+    except ValueError:
+        return None
+    return (at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp()
+
+
 def tree_export(conv: dict) -> Parsed:
-    out = Parsed(source="chatgpt", method="file-json", conv_id=conv.get("id"), title=conv.get("title") or None, created_at=conv.get("create_time") or None, blocks=[])
+    out = Parsed(source="chatgpt", method="file-json", conv_id=conv.get("id"), title=conv.get("title") or None, created_at=_seconds(conv.get("create_time")), updated_at=_seconds(conv.get("update_time")), blocks=[])
     nodes, found = branch(conv.get("mapping") or {}, conv.get("current_node"))
     if not found:
         out.warnings.append("No current_node found; walking all nodes")
@@ -291,15 +314,22 @@ def tree_export(conv: dict) -> Parsed:
             blocks = _tree_blocks(message)
             text = "\n".join(b["content"] for b in blocks if b["type"] in ("text", "code"))
             if trim_py(text):
-                out.turns.append((role, text))
-                out.blocks.append(blocks)
+                model = (message.get("metadata") or {}).get("model_slug")
+                out.add(role, text, blocks, _seconds(message.get("create_time")), {"model": model} if model else {})
             else:
                 out.warnings.append(f"Empty {role} message at node {node.get('id')} was skipped")
     return out
 
 
+def _attachments(message: dict) -> dict:
+    found = message.get("attachments")
+    if not isinstance(found, list):
+        return {}
+    return {"attachments": [{"name": a.get("file_name") or a.get("name") or "attachment", "mimeType": a.get("file_type"), "size": a.get("file_size")} for a in found if isinstance(a, dict)]}
+
+
 def flat_export(conv: dict) -> Parsed:
-    out = Parsed(source="claude", method="file-json", conv_id=conv.get("uuid") or conv.get("id") or None, title=conv.get("name") or conv.get("title") or "Untitled Chat", blocks=[])
+    out = Parsed(source="claude", method="file-json", conv_id=conv.get("uuid") or conv.get("id") or None, title=conv.get("name") or conv.get("title") or "Untitled Chat", created_at=_seconds(conv.get("created_at")), updated_at=_seconds(conv.get("updated_at")), blocks=[])
     for message in conv.get("chat_messages") or []:
         role = {"human": "user", "assistant": "assistant"}.get(message.get("sender"))
         if role is None:
@@ -310,8 +340,7 @@ def flat_export(conv: dict) -> Parsed:
             blocks = [{"type": "text", "content": message["text"]}]
         text = message.get("text") or "\n".join(b["content"] for b in blocks if b["type"] == "text")
         if trim_py(text):
-            out.turns.append((role, text))
-            out.blocks.append(blocks)
+            out.add(role, text, blocks, _seconds(message.get("created_at")), _attachments(message))
         else:
             out.warnings.append(f"Empty {role} message at index {len(out.turns)} was skipped")
     return out
@@ -362,7 +391,7 @@ def parse(text: str, override: str | None = None) -> list[Parsed]:
     return [next((run for can, run in PASTES if can(text)), markdown)(text)]
 
 
-MESSAGES = "input_id bigint, conv_no int, conv_id string, title string, source string, content_type string, input_method string, created_at double, index int, role string, text string, blocks string, warnings string"
+MESSAGES = "input_id bigint, conv_no int, conv_id string, title string, source string, content_type string, input_method string, created_at double, updated_at double, index int, role string, text string, ts double, blocks string, metadata string, warnings string"
 
 
 def _title(parsed: Parsed) -> str:
@@ -386,7 +415,8 @@ def parsed_messages(inputs: DataFrame) -> DataFrame:
                     conv = p.conv_id or hashlib.sha256(f"{no}|{content}".encode()).hexdigest()[:16]
                     for i, (role, text) in enumerate(p.turns):
                         blocks = p.blocks[i] if p.blocks is not None else content_blocks(text)
-                        rows.append((key, no, conv, _title(p), p.source, p.content_type, p.method, p.created_at, i, role, text, json.dumps(blocks, ensure_ascii=False), "; ".join(p.warnings)))
+                        ts, meta = p.stamps.get(i), p.meta.get(i, {})
+                        rows.append((key, no, conv, _title(p), p.source, p.content_type, p.method, p.created_at, p.updated_at, i, role, text, ts, json.dumps(blocks, ensure_ascii=False), json.dumps(meta, ensure_ascii=False), "; ".join(p.warnings)))
             yield pd.DataFrame(rows, columns=names)
 
     return inputs.select("input_id", "content", "override").mapInPandas(run, MESSAGES)
