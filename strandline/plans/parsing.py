@@ -14,9 +14,9 @@ from ..functions import rules as R
 from ..functions.dialect import any_sql, trim_sql
 from ..operators import titles, tree
 from ..sources import parse, scan
-from .documents import _docs
+from .documents import _DOCS_SQL, _docs
 from .fixtures import TEXTS_SQL, inline, inline_sql, messages, texts
-from .base import register
+from .base import ORACLES, register
 
 TREE = [{"id": "c1", "title": "Tree", "current_node": "d", "create_time": 1700000000.5, "mapping": {
     "a": {"id": "a", "parent": None, "message": None},
@@ -75,9 +75,89 @@ register(
     lambda spark, sf: _inputs(spark).select(F.col("input_id").alias("id"), F.col("content").alias("t")).unionAll(texts(spark, sf)).select("id", parse.detect_format(F.col("t")).alias("format")),
     _DETECT_SQL,
 )
+#: expected rows: what each inline input parses to, written out by hand
+_LONG = "one two three four five six seven eight nine ten"
+_NO_SPEAKER = "No speaker pattern detected. Treating entire input as a single message."
+#: input, conversation, its id (a digest without one), title, source, content type, method, created, updated, warnings
+_CONVERSATIONS = [
+    (1, 0, "c1", "Tree", "chatgpt", "chat", "file-json", 1700000000.5, None, ""),
+    (1, 1, "c2", "only text", "chatgpt", "chat", "file-json", None, None, "No current_node found; walking all nodes"),
+    (2, 0, "f1", "Flat", "claude", "chat", "file-json", 1709249400.0, 1709251200.0, "Empty user message at index 2 was skipped"),
+    (3, 0, None, "how are you", "chatgpt", "chat", "paste", None, None, ""),
+    (4, 0, None, "hi\nthere", "claude", "chat", "paste", None, None, ""),
+    (5, 0, None, "first question", "claude", "chat", "paste", None, None, ""),
+    (6, 0, None, "ask this", "chatgpt", "chat", "paste", None, None, ""),
+    (7, 0, None, "q1", "markdown", "chat", "paste", None, None, ""),
+    (8, 0, None, "# A\none two three four five six seven eight nine t...", "markdown", "document", "paste", None, None, ""),
+    (9, 0, None, "para 0 with several words in it\n\npara 1 with sever...", "markdown", "document", "paste", None, None, ""),
+    (10, 0, None, "short note", "markdown", "chat", "paste", None, None, _NO_SPEAKER),
+    (11, 0, None, "{not json", "markdown", "chat", "paste", None, None, _NO_SPEAKER),
+    (12, 0, None, "short note", "claude", "chat", "paste", None, None, _NO_SPEAKER),
+    (13, 0, None, "# A\none two three four five six seven eight nine t...", "chatgpt", "chat", "paste", None, None, ""),
+    (14, 0, None, "hi", "markdown", "chat", "paste", None, None, ""),
+    (15, 0, None, '{"a": 1}', "markdown", "chat", "paste", None, None, _NO_SPEAKER),
+]
+#: input, conversation, index, role, text, time, blocks (one text block without them), metadata
+_TURNS = [
+    (1, 0, 0, "user", "Hello there", 1700000000.5, None, "{}"),
+    (1, 0, 1, "assistant", "print(1)", 1700000060.0, '[{"type": "code", "content": "print(1)", "language": ""}]', '{"model": "m-1"}'),
+    (1, 0, 2, "user", "see image", None, '[{"type": "image", "alt_text": "Image"}, {"type": "text", "content": "see image"}]', "{}"),
+    (1, 1, 0, "user", "only text", None, None, "{}"),
+    (2, 0, 0, "user", "Question one?", 1709249400.25, None, '{"attachments": [{"name": "a.txt", "mimeType": "text/plain", "size": 3}, {"name": "attachment", "mimeType": null, "size": null}]}'),
+    (2, 0, 1, "assistant", "Answer", None, '[{"type": "thinking", "content": "hm"}, {"type": "text", "content": "Answer"}]', "{}"),
+    (3, 0, 0, "user", "how are you", None, None, "{}"),
+    (3, 0, 1, "assistant", "fine\n```\nYou said:\n```", None, '[{"type": "text", "content": "fine"}, {"type": "code", "language": "", "content": "You said:"}]', "{}"),
+    (3, 0, 2, "user", "bye", None, None, "{}"),
+    (3, 0, 3, "assistant", "bye", None, None, "{}"),
+    (4, 0, 0, "user", "hi\nthere", None, None, "{}"),
+    (4, 0, 1, "assistant", "hello", None, None, "{}"),
+    (4, 0, 2, "user", "bye", None, None, "{}"),
+    (5, 0, 0, "user", "first question", None, None, "{}"),
+    (5, 0, 1, "assistant", "Answer one.\n\n- list", None, None, "{}"),
+    (5, 0, 2, "user", "next question", None, None, "{}"),
+    (5, 0, 3, "assistant", "Answer two", None, None, "{}"),
+    (6, 0, 0, "user", "ask this", None, None, "{}"),
+    (6, 0, 1, "assistant", "Answer here\n\n**bold** part", None, None, "{}"),
+    (6, 0, 2, "user", "and what now?", None, None, "{}"),
+    (6, 0, 3, "assistant", "last", None, None, "{}"),
+    (7, 0, 0, "user", "q1", None, None, "{}"),
+    (7, 0, 1, "assistant", "a1", None, None, "{}"),
+    (8, 0, 0, "user", f"# A\n{_LONG}", None, None, "{}"),
+    (8, 0, 1, "user", f"# B\n{_LONG}", None, None, "{}"),
+    (9, 0, 0, "user", "para 0 with several words in it\n\npara 1 with several words in it\n\npara 2 with several words in it", None, None, "{}"),
+    (9, 0, 1, "user", "para 3 with several words in it\n\npara 4 with several words in it\n\npara 5 with several words in it", None, None, "{}"),
+    (10, 0, 0, "user", "short note", None, None, "{}"),
+    (11, 0, 0, "user", "{not json", None, None, "{}"),
+    (12, 0, 0, "user", "short note", None, None, "{}"),
+    (13, 0, 0, "user", f"# A\n{_LONG}", None, None, "{}"),
+    (13, 0, 1, "user", f"# B\n{_LONG}", None, None, "{}"),
+    (14, 0, 0, "user", "hi", None, None, "{}"),
+    (14, 0, 1, "assistant", "hello you", None, None, "{}"),
+    (15, 0, 0, "user", '{"a": 1}', None, None, "{}"),
+]
+
+
+def _parsed_sql(*only: int) -> str:
+    pick = lambda rows: [r for r in rows if not only or r[0] in only]
+    return f"""SELECT c.input_id::BIGINT AS input_id, c.conv_no, coalesce(c.conv_id, substr(sha256(c.conv_no || '|' || i.content), 1, 16)) AS conv_id, title, source, content_type, input_method, created_at::DOUBLE AS created_at, updated_at::DOUBLE AS updated_at,
+        t."index", role, text, ts::DOUBLE AS ts, coalesce(blocks, '[{{"type": "text", "content": ' || to_json(text) || '}}]') AS blocks, metadata, warnings
+        FROM {inline_sql(pick(_CONVERSATIONS), 'input_id, conv_no, conv_id, title, source, content_type, input_method, created_at, updated_at, warnings')} c
+        JOIN {inline_sql(pick(_TURNS), 'input_id, conv_no, "index", role, text, ts, blocks, metadata')} t ON c.input_id = t.input_id AND c.conv_no = t.conv_no
+        JOIN {inline_sql([r[:2] for r in pick(INPUTS)], 'input_id, content')} i ON c.input_id = i.input_id"""
+
+
 for _name, _only in {"parse_inputs": (), "parse_chatgpt_json": (1,), "parse_claude_json": (2,), "parse_chatgpt_paste": (3,), "parse_claude_paste": (4,), "parse_claude_web": (5,), "parse_chatgpt_unlabeled": (6,), "parse_markdown": (7, 8, 9, 10, 14), "source_override": (12, 13)}.items():
-    register(_name, lambda spark, sf, o=_only: parse.parsed_messages(_inputs(spark, *o)))
-register("parse_documents", lambda spark, sf: parse.parsed_messages(_docs(spark, sf).select(F.col("id").alias("input_id"), F.col("t").alias("content"), F.lit(None).cast("string").alias("override"))).select("input_id", "index", "content_type", F.md5("text").alias("digest")))
+    register(_name, lambda spark, sf, o=_only: parse.parsed_messages(_inputs(spark, *o)), _parsed_sql(*_only))
+register(
+    "parse_documents",
+    lambda spark, sf: parse.parsed_messages(_docs(spark, sf).select(F.col("id").alias("input_id"), F.col("t").alias("content"), F.lit(None).cast("string").alias("override"))).select("input_id", "index", "content_type", F.md5("text").alias("digest")),
+    # sections if two are long enough, else groups of paragraphs if two are, else one message
+    f"""WITH a AS ({ORACLES['doc_sections']}), b AS ({ORACLES['doc_paragraph_groups']}),
+        na AS (SELECT id FROM a GROUP BY id HAVING count(*) >= 2), nb AS (SELECT id FROM b WHERE id NOT IN (SELECT id FROM na) GROUP BY id HAVING count(*) >= 2),
+        x AS (SELECT id, "index", 'document' AS content_type, content FROM a WHERE id IN (SELECT id FROM na) UNION ALL SELECT id, "index", 'document', content FROM b WHERE id IN (SELECT id FROM nb)
+              UNION ALL SELECT id, 0, 'chat', {trim_sql('t')} FROM {_DOCS_SQL} WHERE id NOT IN (SELECT id FROM na UNION ALL SELECT id FROM nb) AND coalesce({trim_sql('t')}, '') <> '')
+        SELECT id AS input_id, "index", content_type, md5(content) AS digest FROM x""",
+)
 _TREE_JSON = json.dumps(TREE).replace("'", "''")
 register(
     "list_conversations",
@@ -150,8 +230,12 @@ def _zipped() -> bytes:
             return f.read()
 
 
-register("scan_text", _scan_text)
-register("scan_zip", lambda spark, sf: scan.zip_files(inline(spark, [("x.zip", _zipped())], "path string, content binary")))
+register("scan_text", _scan_text, f"SELECT content, length(content)::INT AS n FROM {inline_sql([(t,) for _, t, _ in INPUTS[2:5]], 'content')}")
+register(
+    "scan_zip",
+    lambda spark, sf: scan.zip_files(inline(spark, [("x.zip", _zipped())], "path string, content binary")),
+    f"SELECT * FROM {inline_sql([('x.zip', 'export/conversations.json', INPUTS[1][1])], 'path, entry, content')}",
+)
 
 # --- titles and lists of conversations
 _TALKS = [
@@ -186,4 +270,6 @@ def _mapped(spark, f, rows: list, sf: str | None = None) -> DataFrame:
 
 register("strip_filler", lambda spark, sf: _mapped(spark, titles.strip_filler, _FILLED, sf))
 register("topic_kernel", lambda spark, sf: _mapped(spark, titles.topic_kernel, _FILLED, sf))
-register("fuzzy_match", lambda spark, sf: _mapped(spark, lambda x: titles.fuzzy_match(*x.split("|")), ["carriibbean|caribbean", "barbados|barbado", "cat|dog", "planning|plans", "antigua|antiqua"]))
+#: pairs and whether they count as one: close long names do, short ones and other stems do not
+_PAIRS = [("carriibbean|caribbean", "True"), ("barbados|barbado", "True"), ("cat|dog", "False"), ("planning|plans", "False"), ("antigua|antiqua", "False")]
+register("fuzzy_match", lambda spark, sf: _mapped(spark, lambda x: titles.fuzzy_match(*x.split("|")), [a for a, _ in _PAIRS]), f"SELECT * FROM {inline_sql(_PAIRS, 't, value')}")

@@ -332,4 +332,13 @@ def _model(spark, sf: str) -> DataFrame:
     return segmented(all_messages(spark, sf), canned).select("conv_id", "seg_no", "start_index", "end_index", "method")
 
 
-register("llm_segments", _model)
+register(
+    "llm_segments",
+    _model,
+    f"""WITH k AS MATERIALIZED ({chunks_sql(12_000, False)}), h AS MATERIALIZED ({segments_sql('medium')} SELECT conv_id, seg_no, start_index, end_index FROM seg),
+        c AS (SELECT k.conv_id, k.chunk_no, min(m."index") AS s, max(m."index") AS e, count(m."index") AS n FROM k LEFT JOIN {ALL_MESSAGES_SQL} m ON m.conv_id = k.conv_id AND m."index" BETWEEN k.start_index AND k.end_index AND m.role IN ('user', 'assistant', 'system') GROUP BY ALL),
+        bad AS (SELECT conv_id FROM c GROUP BY conv_id HAVING min(n) < 3),
+        d AS (SELECT conv_id, s, arg_min(e, chunk_no) AS e FROM c WHERE conv_id NOT IN (SELECT conv_id FROM bad) GROUP BY conv_id, s)
+        SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY s))::INT AS seg_no, s::INT AS start_index, e::INT AS end_index, 'model' AS method FROM d
+        UNION ALL SELECT conv_id, seg_no, start_index, end_index, 'heuristic' FROM h WHERE conv_id IN (SELECT conv_id FROM bad)""",
+)
