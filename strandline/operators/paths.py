@@ -35,10 +35,10 @@ def running(df: DataFrame, key: str, order: list[str], value: Column) -> DataFra
 
 def _numbers(paths: DataFrame, taken: DataFrame) -> DataFrame:
     """path, number for the taken forms (1 for the path itself) of the given distinct paths."""
-    last = F.regexp_extract(_stem(F.col("path")), " \\(([1-9]\\d{0,17})\\)\\z", 1)
+    last = F.regexp_extract(_stem(F.col("path")), " \\(([2-9]|[1-9]\\d{1,17})\\)\\z", 1)
     numbered = F.struct(F.concat(F.regexp_replace(_stem(F.col("path")), " \\(\\d+\\)\\z", ""), F.lit(".md")).alias("path"), F.when(last != "", last).cast("long").alias("number"))
     both = taken.select(F.explode(F.array(F.struct("path", F.lit(1).cast("long").alias("number")), numbered)).alias("x")).select("x.*")
-    return both.filter("number = 1 or number >= 2").distinct().join(paths, "path", "left_semi")
+    return both.filter("number is not null").distinct().join(paths, "path", "left_semi")
 
 
 def resolved(paths: DataFrame, taken: DataFrame) -> DataFrame:
