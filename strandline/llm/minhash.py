@@ -8,18 +8,23 @@ share a band are candidates.
 
 1. one pass makes set size, set digest and bands of every document;
 2. documents with equal sets form a class; only its least id goes on;
-3. candidates: within a band bucket every document is tied to the least id (reduced inside
-   each batch first), and the ties give candidate groups by connected components;
-4. every candidate group is verified exactly on the full sets of the whole texts: all its
-   pairs are compared by counting common shingles, group by group, and a group above ``chunk``
-   documents goes as pairs of chunks to different tasks.  A pair is never a row; a task emits
-   a spanning forest of the links it found;
-5. connected components of the links are the result.
+3. within a band bucket every document is tied to the least id (reduced inside each batch first);
+   the sets of tied documents are made once, and every tie is verified exactly on them: linear in the
+   size of a bucket.  The verified links give the first components;
+4. a bucket that still holds several components is searched: all its pairs of different components
+   are verified, a pair that shares several bands only in the first of them.  Weak collisions never chain:
+   documents meet only in buckets they share;
+5. the links between components join these to the result.
+
+No task gets more than ``chunk`` documents or ``chunk_bytes`` of sets of one bucket against one document, or two
+such chunks against each other; larger buckets are dealt to several tasks.  A pair is never a row: a task
+emits the links it needs.
 
 Shingles are words as in ``shingles``.  A null or empty text, or one without words, has an empty
 set and links with nothing.  A null id links with nothing and is kept.  Rows with equal ids count
 as one document whose links are joined.  Very long texts only make longer sets.  Ties have no
-effect: links are symmetric and a component is named by its least id.
+effect: links are symmetric and a component is named by its least id.  An empty table gives an
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import built, thinned
-from .common import U64, byte_list, mix64, slices, written
+from .common import U64, byte_list, dropped, mix64, slices, written
 from .graph import components
-from .shingles import forget, shingle_set
+from .shingles import forget, overlap, shingle_set
 
 UNIVERSE_BITS = 20
 ROWS, BANDS = 5, 28  # a pair of similarity 0.8 shares no band in 1.3e-5 of all cases, of 0.85 in 7e-8
@@ -69,6 +74,12 @@ def bands(sign: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
+def set_key(s: np.ndarray) -> bytes:
+    """A 128-bit digest of a set that is not empty."""
+    with np.errstate(over="ignore"):
+        return np.array([np.bitwise_xor.reduce(mix64(s + np.arange(len(s), dtype=U64))), mix64(s ^ U64(0x2545F4914F6CDD1D)).sum(dtype=U64)]).tobytes()
+
+
 FEATURES = "id bigint, n_shingles bigint, set_key binary, bands binary"
 
 
@@ -81,9 +92,7 @@ def features(df: DataFrame, id_col: str, text_col: str, width: int, batch_bytes:
                     s = shingle_set(raw, width)
                     size.append(len(s))
                     if len(s):
-                        i = np.arange(len(s), dtype=U64)
-                        with np.errstate(over="ignore"):
-                            key.append(np.array([np.bitwise_xor.reduce(mix64(s + i)), mix64(s ^ U64(0x2545F4914F6CDD1D)).sum(dtype=U64)]).tobytes())
+                        key.append(set_key(s))
                         band.append(bands(signature(s)).tobytes())
                     else:
                         key.append(None)
@@ -146,86 +155,180 @@ def candidates(sets: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(meet, PAIRS).distinct()
 
 
-def spanning(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A forest over the links den * |x & y| >= num * |x | y| among the sets, all pairs compared.
+def shingled(texts: DataFrame, width: int, batch_bytes: int = 4 << 20) -> DataFrame:
+    """doc, sk (digest of the set), shingles (the sorted set) of rows (doc, text) that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text", batch_bytes):
+                sets = [shingle_set(raw, width) for raw in byte_list(b.column("text"))]
+                some = [i for i, s in enumerate(sets) if len(s)]
+                yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(some, type=pa.int64())), pa.array([set_key(sets[i]) for i in some], type=pa.binary()), pa.array([sets[i].tobytes() for i in some], type=pa.binary())], names=["doc", "sk", "shingles"])
+        forget()
 
-    With two sides every pair within one is another task's work but is used to skip pairs that
-    are connected already."""
+    return texts.mapInArrow(run, "doc bigint, sk binary, shingles binary")
+
+
+def alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """den * |x & y| >= num * |x | y| for sorted sets."""
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    common = overlap(x, y)
+    return den * common >= num * (len(x) + len(y) - common)
+
+
+def star_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of documents with the leader they are tied to, of rows (task, leader, salt, leads, id, shingles)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        leader, salt, ids = (table.column(c).to_numpy() for c in ("leader", "salt", "id"))
+        leads = table.column("leads").to_numpy()
+        sets = table.column("shingles")
+        order = np.lexsort((~leads, salt, leader))
+        a, b = [], []
+        head: list[np.ndarray] = []
+        now = None
+        for i in order.tolist():
+            if (leader[i], salt[i]) != now:
+                now, head = (leader[i], salt[i]), []
+            s = np.frombuffer(sets[i].as_py(), dtype=U64)
+            if leads[i]:
+                head.append(s)
+            elif any(alike(s, h, num, den) for h in head):
+                a.append(int(ids[i]))
+                b.append(int(leader[i]))
+        return pa.Table.from_batches([pairs(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))])
+
+    return rows.groupBy("task").applyInArrow(run, PAIRS)
+
+
+def spanning(sets: list[np.ndarray], comp: np.ndarray, band: np.ndarray, key: int, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between the components ``comp`` of the sets of one bucket that join them as far as the
+    sets do; pairs are numbers of sets.
+
+    ``band`` holds the bands of each set and ``key`` is that of the bucket: a pair is compared here if it is the
+    first band they share.  With two values in ``side`` only pairs across them are compared."""
     n = len(sets)
-    parent = np.arange(n)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(size, kind="stable")
-    start = np.cumsum(size) - size
-    # sets in order of size: those a set can link with stand in one stretch
-    flat = np.concatenate([code[start[i] : start[i] + size[i]] for i in order])
-    size = size[order]
+    _, parent = np.unique(comp, return_inverse=True)
+    parent, size, side = parent[order], size[order], side[order]
+    _, code = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     edge = np.concatenate([[0], np.cumsum(size)])
+    # only bands before the bucket's own can take a pair from it
+    place = int(np.flatnonzero(band[0] == U64(key))[0])
+    early = band[order][:, :place]
+    both = bool(side.any() and not side.all())
     marked = np.zeros(int(code.max()) + 1, dtype=np.int32)
     out = []
     for x in range(1, n):
         low = int(np.searchsorted(size * den, size[x] * num))  # den * |y| >= num * |x|
-        if low >= x or (parent[low:x] == parent[x]).all():
+        y = low + np.flatnonzero(parent[low:x] != parent[x]) if low < x else np.zeros(0, dtype=np.int64)
+        if both:
+            y = y[side[y] != side[x]]
+        if len(y):
+            y = y[~(early[y] == early[x]).any(1)]
+        if not len(y):
             continue
-        mine = flat[edge[x] : edge[x + 1]]
+        mine = code[edge[x] : edge[x + 1]]
         marked[mine] = 1
-        common = np.add.reduceat(marked[flat[edge[low] : edge[x]]], edge[low:x] - edge[low])
+        begin = np.cumsum(size[y]) - size[y]
+        common = np.add.reduceat(marked[code[np.repeat(edge[y] - begin, size[y]) + np.arange(int(size[y].sum()))]], begin)
         marked[mine] = 0
-        for y in low + np.flatnonzero(den * common >= num * (size[low:x] + size[x] - common)):
-            if parent[y] != parent[x]:
-                out.append((int(order[x]), int(order[y])))
-                parent[parent == max(parent[x], parent[y])] = min(parent[x], parent[y])
+        for z in y[den * common >= num * (size[y] + size[x] - common)].tolist():
+            if parent[z] != parent[x]:
+                out.append((int(order[x]), int(order[z])))
+                parent[parent == max(parent[x], parent[z])] = min(parent[x], parent[z])
     return out
 
 
-def links(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Spanning links of the rows (task, grp, id, text) that share task and grp."""
+def bucket_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components, of rows (task, key, i, j, own, id, comp, bands, shingles) that share a
+    bucket and a pair of its chunks."""
 
     def run(table: pa.Table) -> pa.Table:
-        grp, ids = table.column("grp").to_numpy(), table.column("id").to_numpy()
-        texts = table.column("text")
-        order = np.lexsort((ids, grp))
+        key, low, high, own, ids, comp = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "comp"))
+        bands_, sets = table.column("bands"), table.column("shingles")
+        order = np.lexsort((ids, high, low, key))
         a, b = [], []
-        cut = np.flatnonzero(np.concatenate([[True], grp[order][1:] != grp[order][:-1], [True]]))
+        same = (key[order][1:] == key[order][:-1]) & (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1])
+        cut = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
         for x, y in zip(cut, cut[1:]):
             here = order[x:y]
-            if len(here) < 2:
+            if y - x < 2 or (comp[here] == comp[here[0]]).all():
                 continue
-            sets = [shingle_set((texts[int(i)].as_py() or "").encode(), width) for i in here]
-            for p, q in spanning(sets, here, num, den):
-                u, v = int(ids[here[p]]), int(ids[here[q]])
+            found = [np.frombuffer(sets[int(i)].as_py(), dtype=U64) for i in here]
+            band = np.stack([np.frombuffer(bands_[int(i)].as_py(), dtype=U64) for i in here])
+            for p, q in spanning(found, comp[here], band, int(key[here[0]].view(U64)), own[here] == high[here[0]] if low[here[0]] != high[here[0]] else np.zeros(y - x, dtype=bool), num, den):
+                u, v = int(comp[here[p]]), int(comp[here[q]])
                 a.append(max(u, v))
                 b.append(min(u, v))
-        forget()
         return pa.Table.from_batches([pairs(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))])
 
-    return members.groupBy("task").applyInArrow(run, PAIRS)
+    return rows.groupBy("task").applyInArrow(run, PAIRS)
+
+
+def banded(members: DataFrame) -> DataFrame:
+    """A row (key, sk, id, comp, size) for each band of each member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = np.frombuffer(b"".join(b.column("bands").to_pylist()), dtype=np.int64)
+            which = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(which) for c in ("sk", "id", "comp", "size"))], names=["key", "sk", "id", "comp", "size"])
+
+    return members.select("bands", "sk", "id", "comp", "size").mapInArrow(run, "key bigint, sk binary, id bigint, comp bigint, size bigint")
+
+
+def _tasks(bytes_: int, each: int) -> int:
+    return max(64, bytes_ // each)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 85, den: int = 100, chunk: int = 1_024, task_docs: int = 512) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 85, den: int = 100, chunk: int = 128, chunk_bytes: int = 8 << 20, task_bytes: int = 4 << 20) -> DataFrame:
     """doc id, n_shingles, component_id, kept for every row; links have den * |x & y| >= num * |x | y|."""
-    spark = df.sparkSession
     table = written(features(df, id_col, text_col, width))
     rows = table.count()
     parts = max(64, rows // 50_000)
     classes = table.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = table.join(classes, "set_key").filter("id = rep").dropDuplicates(["set_key"])
-    groups = written(components(candidates(reps, parts)).select(F.col("node").alias("id"), F.col("component").alias("grp")))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    placed = groups.join(sizes, "grp").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    both = F.transform(other, lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    placed = placed.select("id", "grp", "chunks", F.explode(both).alias("at"))
-    # chunk pairs of a large group are groups of their own; small groups share tasks
-    placed = placed.select("id", F.when(F.col("chunks") == 1, F.col("grp")).otherwise(F.xxhash64("grp", "at.i", "at.j")).alias("grp"), (F.col("chunks") > 1).alias("alone"))
-    tasks = max(8, rows // task_docs)
-    placed = placed.withColumn("task", F.when(F.col("alone"), F.col("grp")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(tasks))))
+    ties = written(candidates(reps, parts))
+    nodes = ties.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # sets are made once, and only those of tied documents are shuffled
     text = df.select(df[id_col].cast("long").alias("doc"), df[text_col].alias("text")).filter(F.col("text").isNotNull())
-    # only texts of candidates are shuffled
-    text = thinned(text, "doc", built(groups.select("id"), groups.count()))
-    members = placed.join(text, placed.id == text.doc).select("task", "grp", "id", "text")
-    found = components(links(members, width, num, den))
+    text = thinned(text, "doc", built(nodes, nodes.count()))
+    tied = reps.join(nodes, "id").select("id", F.col("set_key").alias("sk"), "bands")
+    members = written(shingled(text, width).dropDuplicates(["sk", "doc"]).join(tied, "sk").filter("id = doc").select("id", "sk", "bands", "shingles", F.octet_length("shingles").cast("long").alias("size")))
+    held = members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sizes = members.select("id", "size")
+    many = lambda n, size: F.greatest(F.ceil(n / chunk), F.ceil(size / chunk_bytes)).cast("int")
+
+    # ties of documents with the leaders of their buckets
+    per = ties.join(sizes, ties.a == sizes.id).groupBy("b").agg(F.count("*").alias("n"), F.sum("size").alias("s")).select(F.col("b").alias("leader"), many(F.col("n"), F.col("s")).alias("salts"))
+    deal = lambda d: F.when(F.col("salts") > 1, F.xxhash64("leader", "salt")).otherwise(F.pmod(F.xxhash64("leader"), F.lit(d)))
+    followers = ties.join(per, ties.b == per.leader).select("leader", "salts", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("leads"), F.col("a").alias("of"))
+    leaders = per.select("leader", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("leads"), F.col("leader").alias("of"))
+    dealt = followers.unionByName(leaders).withColumn("task", deal(_tasks(4 * held, task_bytes)))
+    shipped = dealt.join(members.select("id", "shingles"), dealt.of == F.col("id")).select("task", "leader", "salt", "leads", "id", "shingles")
+    links = written(star_links(shipped, num, den))
+    dropped(ties)
+    first = written(components(links))
+    dropped(links)
+
+    # buckets that hold several components
+    placed = members.join(first, members.id == first.node, "left").withColumn("comp", F.coalesce("component", "id"))
+    keyed = written(banded(placed))
+    open_ = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.sum("size").alias("s")).filter("low <> high").select("key", many(F.col("n"), F.col("s")).alias("chunks"))
+    placed = keyed.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("sk"), F.col("chunks")).cast("int"))
+    at = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    placed = placed.select("key", "chunks", "sk", "comp", "own", F.explode(at).alias("at")).select("key", "chunks", "sk", "comp", "own", "at.i", "at.j")
+    placed = placed.withColumn("task", F.when(F.col("chunks") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(_tasks(16 * held, task_bytes)))))
+    shipped = placed.join(members.select("sk", "id", "bands", "shingles"), "sk").select("task", "key", "i", "j", "own", "id", "comp", "bands", "shingles")
+    rest = components(bucket_links(shipped, num, den)).select(F.col("node").alias("c"), F.col("component").alias("whole"))
+    dropped(keyed)
+
+    # a document without a link of its own may still be found in a bucket
+    ids = members.select("id").distinct()
+    found = ids.join(first, ids.id == first.node, "left").withColumn("c", F.coalesce("component", "id")).drop("component").join(rest, "c", "left").select(F.col("id").alias("node"), F.coalesce("whole", "c").alias("component"))
     named = classes.join(found, classes.rep == found.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"), "rep", "copies")
     named = named.filter("copies > 1 or component <> rep").select("set_key", "component")
     out = table.select("id", "n_shingles", "set_key").join(named, "set_key", "left")

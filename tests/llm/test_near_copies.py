@@ -54,7 +54,7 @@ def test_minhash_against_brute_force(spark, edges, width, num):
     df = edges.unionByName(spark.createDataFrame(near_group(150), "doc_id bigint, text string"), allowMissingColumns=True)
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     sets, want = brute_links(rows, width, num, 100)
-    got = minhash.near_duplicates(df, width=width, num=num, chunk=40).collect()  # small chunks: groups go in pairs of chunks
+    got = minhash.near_duplicates(df, width=width, num=num, chunk=20).collect()  # small chunks: buckets go in pairs of chunks
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
