@@ -54,9 +54,12 @@ def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Bounds the bytes of an Arrow batch between Spark and Python: a batch is held several times
-    on both sides, and long texts would make the default of 64 MB the largest thing in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Bounds the bytes of an Arrow batch between Spark and Python, unless the session has a bound of
+    its own: a batch is held several times on both sides, and long texts would make the default of 64 MB the
+    largest thing in memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, size)
 
 
 def tidy() -> None:
@@ -78,11 +81,13 @@ _made: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) is a temporary folder of this machine used."""
+    Where that is unset a local session (tests) uses a temporary folder; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(at)

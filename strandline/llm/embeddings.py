@@ -8,6 +8,8 @@ projections can differ by more than ``width``: a count of window collisions that
 pair reaches.  So the threshold on the count is calibrated to lose no pair at all, and pairs that
 reach it are verified by their cosine in double precision.
 
+Vectors are first scaled by powers of two, exactly, so magnitudes neither overflow nor vanish.
+
 Each projection is sorted and every query's window is found by binary search in it; collisions
 are counted for blocks of queries against blocks of vectors.  The first projections decide for
 nearly all pairs; only those that may still reach the count meet the others.
@@ -19,7 +21,10 @@ forest.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with a null label,
 link with nothing: n_links 0, component their own id, kept.  Vectors link only at equal
-dimension.  A null id is its own class without links.  Rows with equal ids are one vertex.
+dimension.  A null id is its own class without links.  Rows with equal ids are one vertex.  Links are
+symmetric and a component is named by its least id, so ties have no effect.  A block holds ``block`` vectors of
+any dimension, or as many as ``block_bytes`` allow of very long ones.  An empty table gives an empty
+result.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +48,11 @@ def basis(dim: int, seed: int = 3) -> np.ndarray:
     return q
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by powers of two so that their largest component lies between 0.5 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def windows(queries: np.ndarray, values: np.ndarray, width: float) -> np.ndarray:
     """Which values lie in the window around each query, by one sort and two searches."""
     order = np.argsort(values, kind="stable")
@@ -58,7 +68,7 @@ def windows(queries: np.ndarray, values: np.ndarray, width: float) -> np.ndarray
 
 
 def linked(x: np.ndarray, y: np.ndarray, least: float, width: float = 0.1, first: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of x and y whose cosine is ``least`` or more; rows are unscaled."""
+    """Index pairs of rows of x and y whose cosine is ``least`` or more; rows have ordinary magnitudes."""
     dim = x.shape[1]
     nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
     turn = basis(dim)
@@ -111,7 +121,7 @@ def joined(ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, blocks: np.ndarray
     return links, forest
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, block: int = 2_048) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, block: int = 2_048, block_bytes: int = 32 << 20) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"), df[label_col].cast("string").alias("label"))
     bad = F.coalesce(F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))), F.lit(True))
@@ -119,7 +129,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     keyed = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
     good = keyed.filter("fit").select("id", "label", "v", F.hash("v").alias("h"))
     classes = written(good.groupBy("label", "h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    sizes = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n")).select(F.col("label").alias("l"), F.col("dim").alias("d"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    sizes = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n")).select(F.col("label").alias("l"), F.col("dim").alias("d"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("n") * 8 * F.col("dim") / block_bytes)).cast("int").alias("blocks"))
     placed = classes.join(sizes, (F.col("label") == F.col("l")) & (F.size("v") == F.col("d")))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("low"), F.greatest(k, own).alias("high")))
@@ -129,7 +139,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         order = np.argsort(table.column("rep").to_numpy())
         ids, copies, own_ = (table.column(c).to_numpy()[order] for c in ("rep", "copies", "own"))
-        x = np.concatenate([c.flatten().to_numpy() for c in table.column("v").chunks]).reshape(len(ids), -1)[order]
+        x = scaled(np.concatenate([c.flatten().to_numpy() for c in table.column("v").chunks]).reshape(len(ids), -1)[order])
         links, forest = joined(ids, copies, x, own_, low, high, least)
         some = np.flatnonzero(links)
         a = np.concatenate([ids[some], ids[[u for u, _ in forest]]]) if forest else ids[some]

@@ -9,8 +9,8 @@ languages at once and gets the one with the lowest cross-entropy per letter.
 Every fifth sampled document of a language is kept out of its model and calibrates, per language:
 
 * ``usual``: the median entropy of such documents under their own model;
-* ``excess``: half of what documents of the other languages have beyond that (with one language
-  alone, what random letters have);
+* ``excess``: what 95 of 100 kept-out documents of the other languages have beyond that, so mixed
+  documents stay (with one language alone, half of what random letters have);
 * ``bound``: how far, scaled by the square root of the length, a document of the language lies from the
   usual in a share ``false_rejections`` of all cases, by the exponential tail fitted to the kept-out documents;
 * ``sharpness``: the factor of the softmax of the entropies, the best of a grid for their labels.
@@ -243,7 +243,7 @@ class Scorer:
         return [(self.model.langs[b], float(s), float(-t), bool(a)) if m else ("und", 0.0, 0.0, False) for b, s, t, a, m in zip(best, score, top, ok, n)]
 
 
-def calibrated(model: Model, held: list[tuple[str, str]], false_rejections: float = 1e-4, least: int = 20) -> Model:
+def calibrated(model: Model, held: list[tuple[str, str]], false_rejections: float = 1e-6, least: int = 20) -> Model:
     """Sets what decides on rejection and the scores, from documents (language, text) that the
     models have not seen; those with fewer than ``least`` letters are left out."""
     count = len(model.langs)
@@ -259,8 +259,10 @@ def calibrated(model: Model, held: list[tuple[str, str]], false_rejections: floa
         model.usual[k] = np.median(each[mine, k])
         off = np.abs((each[mine, k] - model.usual[k]) * np.sqrt(n[mine]))
         model.bound[k] = np.log(1 / false_rejections) * off.mean() if mine.sum() > 1 else np.inf
-        strange = np.median(each[~mine, k]) if (~mine).any() else np.log(model.letters)
-        model.excess[k] = max(0.0, (strange - model.usual[k]) / 2)
+        if (~mine).any():
+            model.excess[k] = max(0.0, np.quantile(each[~mine, k], 0.05) - model.usual[k])
+        else:
+            model.excess[k] = max(0.0, (np.log(model.letters) - model.usual[k]) / 2)
     if len(label):
         gap = each.min(1, keepdims=True) - each
         fits = {x: (x * gap[np.arange(len(label)), label] - np.log(np.exp(x * gap).sum(1))).mean() for x in (1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 50.0, 100.0)}
@@ -328,6 +330,7 @@ def identified(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[
                 columns = [b.column(c) for c in kept] + [b.column("__text")] * (text_col in keep)
                 names = kept + [text_col] * (text_col in keep) + ["lang_pred", "score", "entropy", "accepted"]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, type=k) for c, k in zip(zip(*found), kinds))], names=names)
+        del scorer
         tidy()
 
     return rows.mapInArrow(run, schema)
@@ -343,6 +346,7 @@ def accepted_only(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
         for whole in batches:
             for b in slices(whole, text_col, 2 << 20):
                 yield b.filter(pa.array([ok for *_, ok in scorer.predict(text_list(b.column(text_col)))], type=pa.bool_()))
+        del scorer
         tidy()
 
     return df.mapInArrow(run, df.schema)

@@ -10,9 +10,10 @@ Only ids, sizes and sources take part in the ranking.  The order within a source
 chunks (by a digest of the id) whose row counts are summed first, so a source with a third of
 all rows is ranked in many tasks.  The offset is a digest of source and seed: reruns agree.
 
-A null text has 0 words; a null source is a source of its own, the last.  Rows with equal ids
-and sizes may share their copies between them in any order.  Extra columns are kept.  A source
-without words has target 0 and nothing is taken from it.
+A null or empty text has 0 words; a null source is a source of its own, the last.  Very long texts count
+whole and are taken like others.  Documents of equal size (ties) stand in order of id; rows with equal
+ids and sizes may share their copies between them in any order.  Extra columns are kept, whatever their
+names.  A source without words has target 0 and nothing is taken from it.  An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -57,8 +58,8 @@ def planned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     ``size`` replaces the word count of ``text_col``."""
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].alias("id"), df[source_col].alias("source"), F.coalesce(F.concat(F.lit("s"), df[source_col]), F.lit("n")).alias("name"), (words(df[text_col]) if size is None else size).alias("size"))
     sums = rows.groupBy("source", "name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    # the chunk size grows with the table, so there are never more than some thousands of chunks
-    plan = targets(sums, weights, most).withColumn("chunks", F.ceil(F.col("n_rows") / F.greatest(F.lit(chunk_rows), F.floor(F.sum("n_rows").over(Window.partitionBy()) / 2000))))
+    # chunks have about the same number of rows whatever the table's size, so no task sorts more than some of them
+    plan = targets(sums, weights, most).withColumn("chunks", F.ceil(F.col("n_rows") / chunk_rows))
     plan = plan.select("name", "source_size", "target", "chunks")
     # few sources, as counted here, meet the rows by broadcast; many by a shuffle, which AQE splits where skewed
     few = rows.select("name").distinct().limit(broadcast_sources + 1).count() <= broadcast_sources

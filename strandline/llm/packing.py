@@ -14,7 +14,11 @@ one.  Where a tier ends within a group the next shorter one completes it, withou
 as the sizes divide each other; so all groups of a run hold equal numbers of tokens but the last.
 
 Packing works within each input partition, so nothing is shuffled, a window never depends on
-rows elsewhere, and a lost task is redone alone.  A null text is empty: one end token.
+rows elsewhere, and a lost task is redone alone.
+
+A null or empty text is one end token.  Very long texts are cut into full windows.  Pieces of equal
+length (ties) are taken last come, first served; repeated rows are packed like any others, each with its
+own pieces.  An empty table gives an empty result.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

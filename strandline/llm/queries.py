@@ -114,7 +114,7 @@ SQL: dict[str, str] = {
         s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n,
                      [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS weight FROM d GROUP BY source),
         l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS lvl,
-                     ceil(n / greatest(2000, floor(sum(n) OVER () / 2000))) AS chunks
+                     ceil(n / 2000) AS chunks
               FROM s WINDOW b AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT *, least(3.0::DOUBLE * source_size, weight * max(CASE WHEN lvl * weight <= 3.0::DOUBLE * source_size THEN lvl END) OVER ()) AS target FROM l),
         k AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.source,

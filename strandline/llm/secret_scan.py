@@ -12,7 +12,11 @@ as identifiers are).  Runs of fewer than 20 letters have models of their own, wh
 also hold generated numbers, dates, paths and rules: what is that short is mostly of these.  The sample is bounded: about ``sample_rows`` documents chosen by a
 digest, ``sample_chars`` letters of each.  Scanning itself reads every whole text.
 
-Null and empty texts have no spans; positions count code points, ends are exclusive.
+Null and empty texts have no spans; positions count code points, ends are exclusive.  Very long texts
+are scanned whole, one at a time.  Spans that begin at one place (ties) stand in the order of the
+kinds; overlapping spans are redacted as one.  Repeated rows and equal texts get equal results; an empty
+table gives an empty result, its models come from generated strings alone.  Other columns may have any
+names: ``cleaned`` keeps them all, ``scanned`` reads none.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_list
+from .common import slices, text_list, tidy
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -231,17 +235,20 @@ def scanned(df: DataFrame, models: Models | None, id_col: str = "doc_id", text_c
                     rows.append((*n[:3], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), n[3]))
                 kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, type=k) for c, k in zip(zip(*rows), kinds))], names=names)
+        tidy()
 
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_random bigint")
 
 
-def cleaned(df: DataFrame, models: Models | None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def cleaned(df: DataFrame, models: Models | None, text_col: str = "text", mark: str = "[SECRET]", batch_bytes: int = 4 << 20) -> DataFrame:
     """``df`` with the secrets of ``text_col`` replaced; all rows and columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index(text_col)
-            texts = [t if t is None else redacted(t, scan(t, models), mark) for t in b.column(at).to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, type=b.schema.field(at).type))
+        for whole in batches:
+            at = whole.schema.get_field_index(text_col)
+            for b in slices(whole, text_col, batch_bytes):
+                texts = [t if t is None else redacted(t, scan(t, models), mark) for t in b.column(at).to_pylist()]
+                yield b.set_column(at, b.schema.field(at), pa.array(texts, type=b.schema.field(at).type))
+        tidy()
 
     return df.mapInArrow(run, df.schema)

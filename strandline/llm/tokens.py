@@ -521,7 +521,7 @@ class Transducer:
             ids = ids[np.repeat((np.cumsum(count) - count)[which] - total[:-1], each) + np.arange(int(total[-1]))]
         return total[words_before], ids, odd
 
-    def _read_all(self, texts: list[str], with_ids: bool, most: int = 1 << 22) -> Iterator[tuple[int, int | np.ndarray, bool]]:
+    def _read_all(self, texts: list[str], with_ids: bool, most: int = 1 << 20) -> Iterator[tuple[int, int | np.ndarray, bool]]:
         """(text number, count or ids, whether the text goes to the library) of the parts of texts."""
         group: list[tuple[int, str | int]] = []
         held = 0

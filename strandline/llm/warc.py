@@ -7,20 +7,26 @@ of its own and makes the sidecar index (offset and length of each member).  ``re
 gets the records out of the members through the index.
 
 A null or empty payload is a response of 0 bytes.  Payloads below ``least`` bytes never
-become revisits.  Rows with equal ids stay separate records.  Archives hold about
-``archive_bytes`` of payload, so memory is bounded whatever the partition size.
+become revisits.  Rows with equal ids stay separate records, and of equal payloads under the
+least id (a tie) none becomes a revisit of itself.  Archives hold about ``archive_bytes`` of payload, or
+one longer payload, so memory is bounded whatever the partition size.  An empty table gives no
+archive and no record.  Other columns, whatever their names, are not read.
+
+Archives travel as rows, which any store that Spark writes can hold; ``write_files`` and ``read_files`` keep
+them as ``.warc.gz`` files with a sidecar file each, in a folder that all executors mount.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GZIP, CHUNK = 31, 1 << 18
@@ -151,6 +157,43 @@ def normalised(archives: DataFrame, level: int = 1) -> DataFrame:
     return archives.mapInArrow(run, ARCHIVE + ", sidecar array<struct<offset:bigint,length:bigint,record_id:string>>")
 
 
+FILES = "archive bigint, path string, bytes bigint, records bigint"
+
+
+def write_files(archives: DataFrame, root: str) -> DataFrame:
+    """Writes each row of ``normalised`` as an archive and its sidecar (a line of offset, length and record
+    id for each member) below ``root``; a row a file.  Files are renamed when they are whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(root, exist_ok=True)
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                path = os.path.join(root, f"part-{r['archive']:016x}.warc.gz")
+                lines = "".join(f"{e['offset']}\t{e['length']}\t{e['record_id']}\n" for e in r["sidecar"])
+                for to, data in ((path + ".idx", lines.encode()), (path, r["data"])):
+                    part = f"{to}.{os.getpid()}.part"
+                    with open(part, "wb") as f:
+                        f.write(data)
+                    os.replace(part, to)
+                rows.append((r["archive"], path, len(r["data"]), len(r["sidecar"])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in FILES.split(", ")])
+
+    return archives.mapInArrow(run, FILES)
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """The archives of a folder with their sidecars, as ``normalised`` gives them."""
+    whole = lambda pattern: spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
+    name = F.regexp_extract("path", r"part-([0-9a-f]{16})\.warc\.gz", 1)
+    archive = F.conv(name, 16, 10).cast("bigint")
+    cells = lambda x: F.split(x, "\t")
+    lines = F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: x != "")
+    entry = lambda x: F.struct(cells(x)[0].cast("bigint").alias("offset"), cells(x)[1].cast("bigint").alias("length"), cells(x)[2].alias("record_id"))
+    index = whole("*.idx").select(archive.alias("archive"), F.transform(lines, entry).alias("sidecar"))
+    return whole("*.warc.gz").select(archive.alias("archive"), F.col("content").alias("data")).join(index, "archive").select("archive", "data", "sidecar")
+
+
 def read_back(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
     """A row for each record, got from its member by the sidecar index."""
     schema = "record_id string, uri string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, archive bigint, offset bigint, member_bytes bigint, intact boolean"

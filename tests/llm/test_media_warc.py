@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import os
 import zlib
 
 from strandline.llm import media_ts, warc
@@ -67,6 +68,21 @@ def test_warc(spark):
     assert warc.read_back(warc.normalised(warc.monolithic(warc.decided(spark.createDataFrame([], PAGES))))).count() == 0
 
 
+def test_archive_and_sidecar_files(spark, tmp_path):
+    rows = [(i, "u", f"page {i} " * 40) for i in range(30)] + [(30, "u", "x" * 5_000_000)]
+    made = warc.normalised(warc.monolithic(warc.decided(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)), archive_bytes=4_000))
+    files = warc.write_files(made, str(tmp_path)).collect()
+    assert len(files) > 2 and sum(f.records for f in files) == 31
+    for f in files:
+        assert os.path.getsize(f.path) == f.bytes
+        lines = [line.split("\t") for line in open(f.path + ".idx", encoding="utf-8").read().splitlines()]
+        data = open(f.path, "rb").read()
+        for offset, length, key in lines:  # any reader can seek to one record
+            assert f"urn:strandline:{key}>".encode() in zlib.decompress(data[int(offset) : int(offset) + int(length)], 31)
+    again = warc.read_back(warc.read_files(spark, str(tmp_path))).collect()
+    assert sorted((r.record_id, r.payload_bytes) for r in again) == sorted((k, len(t)) for k, _, t in rows) and all(r.intact for r in again)
+
+
 def test_normaliser_takes_any_gzip():
     records = [warc.record_bytes(str(i), "u", "d", "response", "x", 3, b"abc" * i, None) for i in range(50)]
     whole, index = warc.normalise(gzip.compress(b"".join(records)))

@@ -242,6 +242,29 @@ def test_vectors_against_brute_force(spark):
     assert embeddings.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_vectors_of_any_magnitude(spark):
+    base = np.random.default_rng(2).standard_normal(12)
+    rows = [(i, (base * f).tolist(), 1) for i, f in enumerate((1.0, 1e200, 1e-200, 3e307 / np.abs(base).max(), 1e-300))] + [(9, (-base).tolist(), 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {**{i: (4, 0) for i in range(5)}, 9: (0, 9)}
+
+
+def test_minhash_of_very_long_texts(spark):
+    text = words(1, 300_000)
+    rows = [(1, text), (2, text + " and more"), (3, " ".join(text.split()[:200_000])), (4, text.upper())]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk_bytes=1 << 20).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_a_chain_of_weak_collisions_stays_apart(spark):
+    """Neighbours share most words and collide, but none is similar enough: every one is its own component."""
+    w = words(5, 700).split()
+    rows = [(i, " ".join(w[12 * i : 12 * i + 100])) for i in range(50)]
+    _, want = brute_links(rows, 3, 85, 100)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_one_dimension_and_windows():
     a, b = embeddings.linked(np.array([[1.0], [-2.0]]), np.array([[3.0], [-1.0]]), 0.98)
     assert sorted(zip(a, b)) == [(0, 0), (1, 1)]
