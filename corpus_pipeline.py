@@ -10,8 +10,11 @@ read again as the next one's docs.  All but the last return the columns of docum
 4. mixing: documents are repeated or left out so that each source comes near its target;
 5. packing: token sequences of at most 2048 tokens, one row a piece.
 
-An empty table passes every stage; a null text is rejected by the first.  Where no language can be
-learned (for instance all of lang is null) the first stage rejects only texts without letters.
+An empty table passes every stage; a null or empty text is rejected by the first.  Where no language can be
+learned (for instance all of lang is null) the first stage rejects only texts without letters.  Very
+long texts are read whole by every stage.  Ties and repeated rows: of equal texts the least id stays,
+rows that share an id stay or go together, and those of equal size are mixed in order of id.  Columns other than
+those of documents are kept by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,7 +68,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: language models, MinHash and tokenizers are beyond SQL; the stages are tested against brute force
+#: language models, MinHash and tokenizers are beyond SQL; each stage is tested against brute force or against its
+#: operator on one text at a time
 ORACLE_SQL = None
 
 

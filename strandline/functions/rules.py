@@ -16,6 +16,8 @@ STOP_WORDS = tuple(
     yourselves""".split()
 )
 
+STOP_SET = frozenset(STOP_WORDS)
+
 # --- fixed values: capitalised words that are no entities
 NOT_ENTITIES = frozenset(
     """I However Therefore Here This That Also Yes No Ok Sure Well But And Or So If When Where While After Before
@@ -295,3 +297,17 @@ Example output for a 2-segment conversation:
   {"startIndex": 0, "endIndex": 5, "title": "Project Setup", "summary": "Discussion about initial project configuration.", "confidence": 1.0},
   {"startIndex": 6, "endIndex": 12, "title": "Database Design", "summary": "Planning the database schema and relationships.", "confidence": 0.85}
 ]"""
+
+# --- fixed values: patterns of titles
+NUMBERED_ITEM = Rx(r"^\d+[,;:]\s*")
+EACH_ONE = Rx(r",?\s*one\s+for\s+(each|every)\s*", "i", to=" ")
+ARTICLE = Rx(r"^(the|a|an|our|my|your)\s+", "i")
+TITLE_HEADING = Rx(r"^(#{2,4})\s+(.+)")
+BOLD_LINE = Rx(r"^\*\*([^*]{3,60})\*\*$")
+SIDE_START = Rx(r"^(what\s+about\s+(the\s+)?|how\s+about\s+(the\s+)?|tell\s+me\s+about\s+)", "i")
+SIDE_END = Rx(r"[.!?,;:]+$")
+SIDE_PHRASE = Rx(r"\s+(in\s+the\s+.+|for\s+the\s+.+|of\s+the\s+.+)$", "i")
+GENERIC_NOUN = Rx(r"\b(countries|country|options|things|ways|types|kinds|topics|items|details|aspects|features)\b", "i")
+VERB_LEFT = Rx(r"^(is|are|was|were)\s+(one\s+choice|an?\s+|the\s+)?", "i")
+TAIL_LEFT = Rx(r"\s+(is|are|was|were|of|in|for|and|or|but|the|a|an|to|on|at|by|with|from|about)$", "i")
+HEAD_LEFT = Rx(r"^(in|of|for|on|at|by|with|from|about|to|if|so|but|when|where|because|since|then)(\s+|$)", "i")

@@ -105,19 +105,15 @@ def strip_filler(text: str) -> str:
     return settled(text, lambda s: _cut_openings(s, R.FILLERS + R.ACTIONS))
 
 
-_NUMBERED, _EACH = Rx(r"^\d+[,;:]\s*"), Rx(r",?\s*one\s+for\s+(each|every)\s*", "i", to=" ")
-_ARTICLE = Rx(r"^(the|a|an|our|my|your)\s+", "i")
-
-
 def topic_kernel(text: str) -> str:
     """What a request is about, in 40 letters at most."""
 
     def once(s: str) -> str:
-        for r in (*R.FILLERS, *R.ACTIONS, R.CONTEXTUAL, _NUMBERED, _EACH, R.LEADING_PUNCTUATION):
+        for r in (*R.FILLERS, *R.ACTIONS, R.CONTEXTUAL, R.NUMBERED_ITEM, R.EACH_ONE, R.LEADING_PUNCTUATION):
             s = trim_py(r.replace_py(s))
         return s
 
-    return truncate(trim_py(_ARTICLE.replace_py(settled(first_sentence(text), once))), 40)
+    return truncate(trim_py(R.ARTICLE.replace_py(settled(first_sentence(text), once))), 40)
 
 
 def fuzzy_match(a: str, b: str) -> bool:
@@ -166,7 +162,7 @@ def entities(messages: Messages, most: int = 5) -> list[str]:
         for sentence in _BREAK.split(text):
             if trim_py(sentence):
                 for name in _names(sentence):
-                    if _CAPS.match(name) or name.lower() not in R.STOP_WORDS:
+                    if _CAPS.match(name) or name.lower() not in R.STOP_SET:
                         weight[name] += 3 if role == "user" else 1
     return [name for name, _ in weight.most_common(most)]  # ties by first occurrence
 
@@ -205,16 +201,13 @@ def _with_kernel(title: str, messages: Messages) -> str:
     return title
 
 
-_HEADING, _BOLD_LINE = Rx(r"^(#{2,4})\s+(.+)").python, Rx(r"^\*\*([^*]{3,60})\*\*$").python
-
-
 def by_heading(messages: Messages) -> str | None:
     seen: dict[str, list] = {}
     for text in of_role(messages, "assistant"):
         for line in text.split("\n"):
-            if m := _HEADING.match(line):
+            if m := R.TITLE_HEADING.python.match(line):
                 level, words = len(m[1]), clean_heading(trim_py(m[2]))
-            elif m := _BOLD_LINE.match(trim_py(line)):
+            elif m := R.BOLD_LINE.python.match(trim_py(line)):
                 level, words = 3, clean_heading(trim_py(m[1]))
             else:
                 continue
@@ -228,14 +221,10 @@ def by_heading(messages: Messages) -> str | None:
     return truncate(title_case(_with_kernel(best[0], messages)))
 
 
-_SIDE_START = Rx(r"^(what\s+about\s+(the\s+)?|how\s+about\s+(the\s+)?|tell\s+me\s+about\s+)", "i")
-_SIDE_END, _SIDE_PHRASE = Rx(r"[.!?,;:]+$"), Rx(r"\s+(in\s+the\s+.+|for\s+the\s+.+|of\s+the\s+.+)$", "i")
-
-
 def comparison_side(text: str) -> str:
-    side = trim_py(_SIDE_END.replace_py(trim_py(_SIDE_START.replace_py(strip_artifacts(trim_py(text))))))
+    side = trim_py(R.SIDE_END.replace_py(trim_py(R.SIDE_START.replace_py(strip_artifacts(trim_py(text))))))
     if len(side) > 35:
-        side = trim_py(_SIDE_PHRASE.replace_py(side))
+        side = trim_py(R.SIDE_PHRASE.replace_py(side))
     return truncate(side, 45)
 
 
@@ -253,11 +242,7 @@ def by_comparison(messages: Messages) -> str | None:
 
 
 _MARKS = Rx(r"^[,;:\s]+|[,;:\s]+$")
-_GENERIC = Rx(r"\b(countries|country|options|things|ways|types|kinds|topics|items|details|aspects|features)\b", "i")
 _WIDE = Rx(r"\s{2,}", to=" ")
-_VERB_LEFT = Rx(r"^(is|are|was|were)\s+(one\s+choice|an?\s+|the\s+)?", "i")
-_TAIL_LEFT = Rx(r"\s+(is|are|was|were|of|in|for|and|or|but|the|a|an|to|on|at|by|with|from|about)$", "i")
-_HEAD_LEFT = Rx(r"^(in|of|for|on|at|by|with|from|about|to|if|so|but|when|where|because|since|then)(\s+|$)", "i")
 
 
 def _kernel_beside(names: list[str], kernel: str) -> str:
@@ -265,14 +250,14 @@ def _kernel_beside(names: list[str], kernel: str) -> str:
     lower = [n.lower() for n in names]
 
     def named(word: str) -> bool:
-        w = _SIDE_END.replace_py(word).lower()
+        w = R.SIDE_END.replace_py(word).lower()
         return w in lower or (len(w) >= 4 and any(fuzzy_match(w, n) for n in lower))
 
     k = trim_py(_MARKS.replace_py(" ".join(w for w in _WHITE.split(kernel) if not named(w))))
-    for r in (_GENERIC, _WIDE, _VERB_LEFT):
+    for r in (R.GENERIC_NOUN, _WIDE, R.VERB_LEFT):
         k = trim_py(r.replace_py(k))
-    k = settled(k, lambda s: trim_py(_TAIL_LEFT.replace_py(s)))
-    for r in (_HEAD_LEFT, _MARKS):
+    k = settled(k, lambda s: trim_py(R.TAIL_LEFT.replace_py(s)))
+    for r in (R.HEAD_LEFT, _MARKS):
         k = trim_py(r.replace_py(k))
     k = strip_artifacts(k)
     for open_, close in ("()", "[]"):
@@ -330,7 +315,7 @@ def tokens(text: str) -> list[str]:
 
 
 def by_keywords(messages: Messages) -> str:
-    terms = Counter(t for t in tokens(" ".join(t for _, t in messages)) if t not in R.STOP_WORDS)
+    terms = Counter(t for t in tokens(" ".join(t for _, t in messages)) if t not in R.STOP_SET)
     return title_case(" ".join(t for t, _ in terms.most_common(3))) if terms else "Untitled Topic"
 
 
@@ -398,7 +383,7 @@ def topics(messages: Messages) -> list[str]:
     out, answers = Distinct(R.MOST_TOPICS), of_role(messages, "assistant")
     for text in answers:
         for line in text.split("\n"):
-            if m := _HEADING.match(line):
+            if m := R.TITLE_HEADING.python.match(line):
                 words = trim_py(R.HEADING_NUMBER.replace_py(strip_artifacts(steps_py(R.CLEAN_INLINE, trim_py(m[2])))))
                 if len(words) >= 20:  # shorter ones are fragments whatever they say
                     out.add(shortened(words))

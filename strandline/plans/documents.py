@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import rules as R
 from ..functions import text as T
@@ -111,14 +115,23 @@ def _first_turns(msgs: DataFrame, *keys: str) -> DataFrame:
 # --- keywords, headings, tags, summaries of segments
 
 
-def keywords(rows: DataFrame, keys: list[str], order: str = "index", k: int = 3) -> DataFrame:
-    """The ``k`` most frequent content terms of each group; ties by first occurrence."""
-    terms = rows.select(*keys, order, F.posexplode(T.content_tokens(F.col("text"))).alias("pos", "term"))
-    counts = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min(F.struct(order, "pos")).alias("first"))
-    w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "first")
-    top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    named = top.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " ").alias("words"))
-    return named.select(*keys, T.title_case(F.col("words")).alias("title"))
+@F.pandas_udf(StringType())
+def _frequent(terms: pd.Series, k: pd.Series) -> pd.Series:
+    """The most frequent of each list of terms, ties by first occurrence; null without terms."""
+    return pd.Series([" ".join(t for t, _ in Counter(x).most_common(n)) or None for x, n in zip(terms, k)])
+
+
+def keywords(rows: DataFrame, keys: list[str], order: str | None = "index", k: int = 3) -> DataFrame:
+    """The ``k`` most frequent content terms of each group; ties by first occurrence.
+
+    The terms of a group meet in one row; without an ``order`` every row is a group and nothing is shuffled."""
+    terms = T.content_tokens(F.col("text"))
+    if order is None:
+        groups = rows.select(*keys, terms.alias("terms"))
+    else:
+        gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, terms.alias("t")))).alias("all"))
+        groups = gathered.select(*keys, F.flatten(F.transform("all", lambda x: x["t"])).alias("terms"))
+    return groups.select(*keys, _frequent("terms", F.lit(k)).alias("words")).filter("words is not null").select(*keys, T.title_case(F.col("words")).alias("title"))
 
 
 register(
@@ -131,7 +144,7 @@ register(
 )
 register(
     "document_keywords",
-    lambda spark, sf: keywords(read(spark, sf, "documents").select("doc_id", "text", F.lit(0).alias("index")), ["doc_id"]),
+    lambda spark, sf: keywords(read(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], None),
     f"""WITH w AS (SELECT doc_id, unnest({T.content_tokens_sql('text')}) AS term, generate_subscripts({T.content_tokens_sql('text')}, 1) AS pos FROM documents),
         n AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first FROM w GROUP BY ALL),
         k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM n QUALIFY r <= 3)

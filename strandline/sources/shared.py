@@ -12,8 +12,13 @@ _made: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A path in ``spark.checkpoint.dir``.  Where that is unset a local session (tests) uses a temporary
+    folder; on a cluster it is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.gettempdir()
     path = f"{at.rstrip('/')}/strandline-{spark.sparkContext.applicationId}-{name}"
     if not _made:
         atexit.register(_sweep, spark)
