@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.dialect import any_sql, trim_sql
+from ..functions import text as T
+from ..functions.dialect import any_sql, steps_sql, trim_sql
 from ..operators import titles, tree
 from ..sources import parse, scan
 from .documents import _DOCS_SQL, _docs
-from .fixtures import TEXTS_SQL, inline, inline_sql, messages, texts
+from .fixtures import MESSAGES_SQL, TEXTS_SQL, inline, inline_sql, joined_sql, messages, texts
 from .base import ORACLES, register
 
 TREE = [{"id": "c1", "title": "Tree", "current_node": "d", "create_time": 1700000000.5, "mapping": {
@@ -251,8 +252,74 @@ def _described(spark, sf: str, *names: str) -> DataFrame:
     return titles.described(rows, ["conv_id"], names)
 
 
+def _settled_sql(name: str, source: str, rules: tuple, cut: bool) -> str:
+    """CTE ``name`` (t, s, k, still): the rules applied to each t in turn until none of them changes s.
+
+    With ``cut`` a rule that takes something away also takes marks and blanks left in front."""
+    n = len(rules)
+    one = "CASE k % {n} {ways} END".format(n=n, ways=" ".join(f"WHEN {i} THEN {r.replace_sql('s')}" for i, r in enumerate(rules)))
+    after = f"CASE WHEN c = s THEN s ELSE {R.LEADING_PUNCTUATION.replace_sql(trim_sql('c'))} END" if cut else trim_sql("c")
+    return f"""{name} AS (SELECT t, t AS s, 0 AS k, 0 AS still FROM (SELECT DISTINCT t FROM {source}) UNION ALL
+        SELECT t, n, k + 1, CASE WHEN n = s THEN still + 1 ELSE 0 END FROM (SELECT *, {after} AS n FROM (SELECT *, {one} AS c FROM {name} WHERE still < {n})))"""
+
+
+def _listed_sql(column: str, candidates: str, most: int, spare: str = "NULL") -> str:
+    """Folds ordered candidates (conv_id, r from 1, item) of the CTEs into items whose normal forms do not
+    contain each other; ``spare`` is taken where there are none."""
+    return f"""{candidates},
+        fold AS (SELECT DISTINCT conv_id, 0::BIGINT AS r, []::VARCHAR[] AS items, []::VARCHAR[] AS forms FROM msgs UNION ALL
+            SELECT conv_id, r, CASE WHEN ok THEN list_append(items, item) ELSE items END, CASE WHEN ok THEN list_append(forms, form) ELSE forms END FROM (
+                SELECT f.conv_id, c.r, f.items, f.forms, c.item, c.form, len(f.items) < {most} AND len(list_filter(f.forms, lambda x: contains(x, c.form) OR contains(c.form, x))) = 0 AS ok
+                FROM fold f JOIN (SELECT *, {T.normal_form_sql('item')} AS form FROM cand) c ON f.conv_id = c.conv_id AND c.r = f.r + 1)),
+        done AS (SELECT conv_id, arg_max(items, r) AS items FROM fold GROUP BY conv_id)
+        SELECT done.conv_id, coalesce({joined_sql("CASE WHEN len(items) > 0 THEN items WHEN spare.item IS NOT NULL THEN [spare.item] ELSE [] END")}, '') AS {column}
+        FROM done LEFT JOIN ({spare if spare != "NULL" else "SELECT NULL::BIGINT AS conv_id, NULL::VARCHAR AS item"}) spare ON done.conv_id = spare.conv_id"""
+
+
+_INLINE_TALKS = inline_sql(_TALKS, 'conv_id, "index", role, text')
+_MSGS_SQL = f"""msgs AS (SELECT conv_id::BIGINT AS conv_id, "index", role, text FROM {_INLINE_TALKS} UNION ALL SELECT conv_id, "index", role, text FROM {MESSAGES_SQL})"""
+_ASK = any_sql((R.QUESTION_END, R.QUESTION_WORD, R.REQUEST), "clean")
+_QUESTIONS_SQL = _listed_sql(
+    "questions",
+    f"""WITH RECURSIVE {_MSGS_SQL},
+        u AS (SELECT conv_id, "index", {T.first_sentence_sql('x')} AS t FROM (SELECT conv_id, "index", {steps_sql(R.STRIP_MARKDOWN, trim_sql('text'))} AS x FROM msgs WHERE role = 'user') WHERE x <> ''),
+        {_settled_sql('st', 'u', tuple(R.FILLERS), True)},
+        a AS (SELECT u.conv_id, u."index", u.t, s, {trim_sql(steps_sql(R.CLEAN_INLINE, 'u.t'))} AS whole FROM u JOIN st ON u.t = st.t AND st.still = {len(R.FILLERS)}),
+        b AS (SELECT conv_id, "index", {trim_sql(R.LEADING_PUNCTUATION.replace_sql(T.strip_artifacts_sql("(CASE WHEN length(s) < 20 AND length(whole) >= 20 THEN whole ELSE s END)")))} AS asked FROM a),
+        c AS (SELECT *, {steps_sql(R.CLEAN_INLINE, 'asked')} AS clean FROM b),
+        cand AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY "index") AS r, {T.truncate_item_sql('clean')} AS item FROM c WHERE length(asked) >= 5 AND length(clean) >= 5 AND {_ASK})""",
+    R.MOST_QUESTIONS,
+)
+_SENTENCE_OR = lambda e, most: f"CASE WHEN {T.SENTENCE.test_sql(e)} THEN {trim_sql(T.SENTENCE.find_sql(e))} ELSE {trim_sql(f'substr({e}, 1, {most})')} END"
+_TAKEN = trim_sql(steps_sql(R.CLEAN_INLINE, "x"))
+for _rule in (titles._BULLET, titles._NUMBER, titles._ONE_BLANK):
+    _TAKEN = _rule.replace_sql(_TAKEN)
+_TAKEAWAYS_SQL = _listed_sql(
+    "takeaways",
+    f"""WITH RECURSIVE {_MSGS_SQL},
+        w AS (SELECT conv_id, "index", text FROM msgs WHERE role = 'assistant'),
+        s AS (SELECT conv_id, "index", unnest({T.sentences_sql('text')}) AS x, generate_subscripts({T.sentences_sql('text')}, 1) AS pos FROM w),
+        k AS (SELECT conv_id, "index", pos, {T.strip_artifacts_sql(_TAKEN)} AS clean FROM s WHERE {T.is_takeaway_sql('x')} AND NOT {any_sql(R.PROMPTS, 'x')} AND NOT {R.ACKNOWLEDGED.test_sql('x')}),
+        bd AS (SELECT conv_id, "index", unnest(bs) AS raw, generate_subscripts(bs, 1) AS pos FROM (SELECT conv_id, "index", regexp_extract_all(text, '\\*\\*([^*]{{15,}})\\*\\*', 1) AS bs FROM w)),
+        b AS (SELECT conv_id, "index", pos, {trim_sql('raw')} AS x FROM bd),
+        al AS (SELECT conv_id, 0 AS phase, "index", pos, {T.truncate_item_sql('clean')} AS item FROM k WHERE length(clean) >= 15
+               UNION ALL SELECT conv_id, 1, "index", pos, {T.truncate_item_sql('x')} FROM b WHERE length(x) >= 15 AND {any_sql(R.TAKEAWAYS, 'x')} AND NOT {any_sql(R.PROMPTS, 'x')}),
+        cand AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY phase, "index", pos) AS r, item FROM al)""",
+    R.MOST_TAKEAWAYS,
+    f"""SELECT conv_id, {T.truncate_item_sql('clean')} AS item FROM (SELECT conv_id, {steps_sql(R.CLEAN_INLINE, _SENTENCE_OR('ending', 200))} AS clean FROM (
+            SELECT conv_id, CASE WHEN len(ps) > 1 THEN {trim_sql('ps[-1]')} ELSE '' END AS ending FROM (SELECT conv_id, {T.paragraphs_sql('arg_max(text, "index")')} AS ps FROM w GROUP BY conv_id))
+            WHERE length(ending) >= 20 AND NOT starts_with(ending, '```') AND NOT {any_sql((R.NO_PROSE[1], R.NO_PROSE[2]), 'ending')}) WHERE length(clean) >= 15 AND NOT {any_sql(R.PROMPTS, 'clean')}""",
+)
+_ORACLES = {"questions": _QUESTIONS_SQL, "takeaways": _TAKEAWAYS_SQL}
+
+
+def _one_string(df: DataFrame, name: str) -> DataFrame:
+    """Lists as one string, so that rows compare in any engine."""
+    return df.withColumn(name, F.array_join(name, "¦")) if df.schema[name].dataType.typeName() == "array" else df
+
+
 for _name, _columns in {"titles": ["title"], "entities": ["entities"], "tags": ["tags"], "questions": ["questions"], "topics": ["topics"], "takeaways": ["takeaways"]}.items():
-    register(_name, lambda spark, sf, c=_columns: _described(spark, sf, *c))
+    register(_name, lambda spark, sf, c=_columns: _one_string(_described(spark, sf, *c), c[0]), _ORACLES.get(_name))
 _FILLED = ["Can you please help me find the best hotels", "ok so let's break down the budget", "what about the visa?", "tell me about it if you want to", "plain text"]
 
 
@@ -268,8 +335,21 @@ def _mapped(spark, f, rows: list, sf: str | None = None) -> DataFrame:
     return (found if sf is None else found.unionAll(texts(spark, sf).select("t"))).mapInPandas(run, "t string, value string")
 
 
-register("strip_filler", lambda spark, sf: _mapped(spark, titles.strip_filler, _FILLED, sf))
-register("topic_kernel", lambda spark, sf: _mapped(spark, titles.topic_kernel, _FILLED, sf))
+_FILLED_SQL = f"(SELECT t FROM {inline_sql([(x,) for x in _FILLED], 't')} UNION ALL SELECT t FROM {TEXTS_SQL})"
+_OPENINGS = (*R.FILLERS, *R.ACTIONS)
+_KERNELS = (*_OPENINGS, R.CONTEXTUAL, R.NUMBERED_ITEM, R.EACH_ONE, R.LEADING_PUNCTUATION)
+register(
+    "strip_filler",
+    lambda spark, sf: _mapped(spark, titles.strip_filler, _FILLED, sf),
+    f"WITH RECURSIVE src AS {_FILLED_SQL}, {_settled_sql('st', 'src', _OPENINGS, True)} SELECT src.t, s AS value FROM src JOIN st ON src.t = st.t AND still = {len(_OPENINGS)}",
+)
+_KERNEL = trim_sql(R.ARTICLE.replace_sql("s"))
+register(
+    "topic_kernel",
+    lambda spark, sf: _mapped(spark, titles.topic_kernel, _FILLED, sf),
+    f"""WITH RECURSIVE src AS {_FILLED_SQL}, fs AS (SELECT t AS full, {T.first_sentence_sql('t')} AS t FROM src), {_settled_sql('st', 'fs', _KERNELS, False)},
+        kn AS (SELECT fs.full, {_KERNEL} AS kernel FROM fs JOIN st ON fs.t = st.t AND still = {len(_KERNELS)}) SELECT "full" AS t, {T.truncate_word_sql('kernel', 40)} AS value FROM kn""",
+)
 #: pairs and whether they count as one: close long names do, short ones and other stems do not
 _PAIRS = [("carriibbean|caribbean", "True"), ("barbados|barbado", "True"), ("cat|dog", "False"), ("planning|plans", "False"), ("antigua|antiqua", "False")]
 register("fuzzy_match", lambda spark, sf: _mapped(spark, lambda x: titles.fuzzy_match(*x.split("|")), [a for a, _ in _PAIRS]), f"SELECT * FROM {inline_sql(_PAIRS, 't, value')}")
