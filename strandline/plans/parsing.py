@@ -310,7 +310,22 @@ _TAKEAWAYS_SQL = _listed_sql(
             SELECT conv_id, CASE WHEN len(ps) > 1 THEN {trim_sql('ps[-1]')} ELSE '' END AS ending FROM (SELECT conv_id, {T.paragraphs_sql('arg_max(text, "index")')} AS ps FROM w GROUP BY conv_id))
             WHERE length(ending) >= 20 AND NOT starts_with(ending, '```') AND NOT {any_sql((R.NO_PROSE[1], R.NO_PROSE[2]), 'ending')}) WHERE length(clean) >= 15 AND NOT {any_sql(R.PROMPTS, 'clean')}""",
 )
-_ORACLES = {"questions": _QUESTIONS_SQL, "takeaways": _TAKEAWAYS_SQL}
+_HEADED = trim_sql(R.HEADING_NUMBER.replace_sql(T.strip_artifacts_sql(steps_sql(R.CLEAN_INLINE, trim_sql(R.TITLE_HEADING.find_sql("line", 2))))))
+_TOPICS_SQL = _listed_sql(
+    "topics",
+    f"""WITH RECURSIVE {_MSGS_SQL},
+        w AS (SELECT conv_id, "index", text FROM msgs WHERE role = 'assistant'),
+        ln AS (SELECT conv_id, "index", unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM w),
+        hd AS (SELECT conv_id, "index", pos, {_HEADED} AS words FROM ln WHERE {R.TITLE_HEADING.test_sql('line')}),
+        h AS (SELECT conv_id, "index", pos, {T.truncate_item_sql('words')} AS item FROM hd WHERE length(words) >= 20),
+        op AS (SELECT conv_id, "index", {trim_sql(R.GREETING.replace_sql('first'))} AS opening FROM (SELECT conv_id, "index", ({T.meaningful_lines_sql('text')})[1] AS first FROM w) WHERE first IS NOT NULL),
+        st AS (SELECT conv_id, "index", {T.strip_artifacts_sql(steps_sql(R.CLEAN_INLINE, _SENTENCE_OR('opening', 150)))} AS x FROM op WHERE length(opening) >= 10),
+        g AS (SELECT conv_id, "index", x, {T.last_space_sql('substr(x, 1, 81)')} AS sp FROM st WHERE NOT {R.TOPIC_PRONOUNS.test_sql('x')} AND length(x) >= 20 AND NOT {R.ACKNOWLEDGED.test_sql('x')}),
+        al AS (SELECT conv_id, "index", pos, item FROM h UNION ALL SELECT conv_id, "index", 0, CASE WHEN length(x) <= 80 THEN x WHEN sp > 40 THEN substr(x, 1, sp) ELSE substr(x, 1, 80) END FROM g WHERE conv_id NOT IN (SELECT conv_id FROM h)),
+        cand AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY "index", pos) AS r, item FROM al)""",
+    R.MOST_TOPICS,
+)
+_ORACLES = {"questions": _QUESTIONS_SQL, "takeaways": _TAKEAWAYS_SQL, "topics": _TOPICS_SQL}
 
 
 def _one_string(df: DataFrame, name: str) -> DataFrame:
