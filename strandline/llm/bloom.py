@@ -40,16 +40,20 @@ def built(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return words, bits
 
 
+def held(ids: pa.Array, filter_: tuple[np.ndarray, int]) -> np.ndarray:
+    """Which ids may be in the filter; a null id is never inside."""
+    words, bits = filter_
+    at = places(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
+    hit = (words[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool).reshape(2, -1).all(0)
+    return hit & ~ids.is_null().to_numpy(zero_copy_only=False)
+
+
 def thinned(df: DataFrame, id_col: str, filter_: tuple[np.ndarray, int], inside: bool = True) -> DataFrame:
     """The rows of ``df`` whose id may be in the filter, or the others; a null id is never inside."""
-    words, bits = filter_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(id_col)
-            at = places(column.fill_null(0).to_numpy(zero_copy_only=False), bits)
-            hit = (words[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool).reshape(2, -1).all(0)
-            hit &= ~column.is_null().to_numpy(zero_copy_only=False)
+            hit = held(b.column(id_col), filter_)
             yield b.filter(pa.array(hit if inside else ~hit))
 
     return df.mapInArrow(run, df.schema)

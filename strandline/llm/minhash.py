@@ -11,9 +11,10 @@ share a band are candidates.
 3. within a band bucket every document is tied to the least id (reduced inside each batch first);
    the sets of tied documents are made once, and every tie is verified exactly on them: linear in the
    size of a bucket.  The verified links give the first components;
-4. a bucket that still holds several components is searched: all its pairs of different components
-   are verified, a pair that shares several bands only in the first of them.  Weak collisions never chain:
-   documents meet only in buckets they share;
+4. buckets of three or more that still hold several components are searched (the pair in a bucket of
+   two is a tie): all their pairs of different components are verified.  Buckets that share documents
+   go together, so a set travels once, unless they chain to more than ``most_chunks`` chunks; then each
+   bucket goes alone and a pair that shares several bands is verified in the first of them;
 5. the links between components join these to the result.
 
 No task gets more than ``chunk`` documents or ``chunk_bytes`` of sets of one bucket against one document, or two
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import built, thinned
+from .bloom import built, held as may_hold
 from .common import U64, byte_list, dropped, mix64, slices, written
 from .graph import components
 from .shingles import forget, overlap, shingle_set
@@ -83,7 +84,7 @@ def set_key(s: np.ndarray) -> bytes:
 FEATURES = "id bigint, n_shingles bigint, set_key binary, bands binary"
 
 
-def features(df: DataFrame, id_col: str, text_col: str, width: int, batch_bytes: int = 4 << 20) -> DataFrame:
+def features(df: DataFrame, id_col: str, text_col: str, width: int, batch_bytes: int = 2 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", batch_bytes):
@@ -155,12 +156,13 @@ def candidates(sets: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(meet, PAIRS).distinct()
 
 
-def shingled(texts: DataFrame, width: int, batch_bytes: int = 4 << 20) -> DataFrame:
-    """doc, sk (digest of the set), shingles (the sorted set) of rows (doc, text) that have words."""
+def shingled(texts: DataFrame, width: int, wanted: tuple[np.ndarray, int], batch_bytes: int = 2 << 20) -> DataFrame:
+    """doc, sk (digest of the set), shingles (the sorted set) of rows (doc, text) that have words and whose
+    doc may be in the filter ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", batch_bytes):
+            for b in slices(whole.filter(pa.array(may_hold(whole.column("doc"), wanted))), "text", batch_bytes):
                 sets = [shingle_set(raw, width) for raw in byte_list(b.column("text"))]
                 some = [i for i, s in enumerate(sets) if len(s)]
                 yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(some, type=pa.int64())), pa.array([set_key(sets[i]) for i in some], type=pa.binary()), pa.array([sets[i].tobytes() for i in some], type=pa.binary())], names=["doc", "sk", "shingles"])
@@ -202,12 +204,12 @@ def star_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("task").applyInArrow(run, PAIRS)
 
 
-def spanning(sets: list[np.ndarray], comp: np.ndarray, band: np.ndarray, key: int, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def spanning(sets: list[np.ndarray], comp: np.ndarray, band: np.ndarray, key: int | None, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links between the components ``comp`` of the sets of one bucket that join them as far as the
     sets do; pairs are numbers of sets.
 
-    ``band`` holds the bands of each set and ``key`` is that of the bucket: a pair is compared here if it is the
-    first band they share.  With two values in ``side`` only pairs across them are compared."""
+    ``band`` holds the bands of each set; a pair is compared if it shares one.  With the ``key`` of a bucket
+    that all share, it is compared if that is the first one it shares.  With two values in ``side`` only pairs across them are compared."""
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     order = np.argsort(size, kind="stable")
@@ -216,8 +218,7 @@ def spanning(sets: list[np.ndarray], comp: np.ndarray, band: np.ndarray, key: in
     _, code = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     edge = np.concatenate([[0], np.cumsum(size)])
     # only bands before the bucket's own can take a pair from it
-    place = int(np.flatnonzero(band[0] == U64(key))[0])
-    early = band[order][:, :place]
+    early = band[order][:, : BANDS if key is None else int(np.flatnonzero(band[0] == U64(key))[0])]
     both = bool(side.any() and not side.all())
     marked = np.zeros(int(code.max()) + 1, dtype=np.int32)
     out = []
@@ -227,7 +228,7 @@ def spanning(sets: list[np.ndarray], comp: np.ndarray, band: np.ndarray, key: in
         if both:
             y = y[side[y] != side[x]]
         if len(y):
-            y = y[~(early[y] == early[x]).any(1)]
+            y = y[(early[y] == early[x]).any(1) == (key is None)]
         if not len(y):
             continue
         mine = code[edge[x] : edge[x + 1]]
@@ -243,12 +244,12 @@ def spanning(sets: list[np.ndarray], comp: np.ndarray, band: np.ndarray, key: in
 
 
 def bucket_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components, of rows (task, key, i, j, own, id, comp, bands, shingles) that share a
-    bucket and a pair of its chunks."""
+    """Links between components, of rows (task, whole, key, i, j, own, id, comp, bands, shingles) that share a
+    bucket, or a group of them (``whole``), and a pair of its chunks."""
 
     def run(table: pa.Table) -> pa.Table:
         key, low, high, own, ids, comp = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "comp"))
-        bands_, sets = table.column("bands"), table.column("shingles")
+        bands_, sets, whole = table.column("bands"), table.column("shingles"), table.column("whole").to_numpy()
         order = np.lexsort((ids, high, low, key))
         a, b = [], []
         same = (key[order][1:] == key[order][:-1]) & (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1])
@@ -259,7 +260,7 @@ def bucket_links(rows: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             found = [np.frombuffer(sets[int(i)].as_py(), dtype=U64) for i in here]
             band = np.stack([np.frombuffer(bands_[int(i)].as_py(), dtype=U64) for i in here])
-            for p, q in spanning(found, comp[here], band, int(key[here[0]].view(U64)), own[here] == high[here[0]] if low[here[0]] != high[here[0]] else np.zeros(y - x, dtype=bool), num, den):
+            for p, q in spanning(found, comp[here], band, None if whole[here[0]] else int(key[here[0]].view(U64)), own[here] == high[here[0]] if low[here[0]] != high[here[0]] else np.zeros(y - x, dtype=bool), num, den):
                 u, v = int(comp[here[p]]), int(comp[here[q]])
                 a.append(max(u, v))
                 b.append(min(u, v))
@@ -284,7 +285,7 @@ def _tasks(bytes_: int, each: int) -> int:
     return max(64, bytes_ // each)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 85, den: int = 100, chunk: int = 128, chunk_bytes: int = 8 << 20, task_bytes: int = 4 << 20) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 85, den: int = 100, chunk: int = 128, chunk_bytes: int = 8 << 20, task_bytes: int = 4 << 20, most_chunks: int = 16) -> DataFrame:
     """doc id, n_shingles, component_id, kept for every row; links have den * |x & y| >= num * |x | y|."""
     table = written(features(df, id_col, text_col, width))
     rows = table.count()
@@ -295,9 +296,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = ties.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # sets are made once, and only those of tied documents are shuffled
     text = df.select(df[id_col].cast("long").alias("doc"), df[text_col].alias("text")).filter(F.col("text").isNotNull())
-    text = thinned(text, "doc", built(nodes, nodes.count()))
     tied = reps.join(nodes, "id").select("id", F.col("set_key").alias("sk"), "bands")
-    members = written(shingled(text, width).dropDuplicates(["sk", "doc"]).join(tied, "sk").filter("id = doc").select("id", "sk", "bands", "shingles", F.octet_length("shingles").cast("long").alias("size")))
+    members = written(shingled(text, width, built(nodes, nodes.count())).dropDuplicates(["sk", "doc"]).join(tied, "sk").filter("id = doc").select("id", "sk", "bands", "shingles", F.octet_length("shingles").cast("long").alias("size")))
     held = members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     sizes = members.select("id", "size")
     many = lambda n, size: F.greatest(F.ceil(n / chunk), F.ceil(size / chunk_bytes)).cast("int")
@@ -314,21 +314,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = written(components(links))
     dropped(links)
 
-    # buckets that hold several components
+    # buckets that hold several components; buckets that share documents form a group
     placed = members.join(first, members.id == first.node, "left").withColumn("comp", F.coalesce("component", "id"))
     keyed = written(banded(placed))
-    open_ = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.sum("size").alias("s")).filter("low <> high").select("key", many(F.col("n"), F.col("s")).alias("chunks"))
-    placed = keyed.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("sk"), F.col("chunks")).cast("int"))
-    at = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    placed = placed.select("key", "chunks", "sk", "comp", "own", F.explode(at).alias("at")).select("key", "chunks", "sk", "comp", "own", "at.i", "at.j")
-    placed = placed.withColumn("task", F.when(F.col("chunks") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(_tasks(16 * held, task_bytes)))))
-    shipped = placed.join(members.select("sk", "id", "bands", "shingles"), "sk").select("task", "key", "i", "j", "own", "id", "comp", "bands", "shingles")
-    rest = components(bucket_links(shipped, num, den)).select(F.col("node").alias("c"), F.col("component").alias("whole"))
+    open_ = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("id").alias("least"), F.count("*").alias("n"), F.sum("size").alias("s")).filter("low <> high and n > 2").select("key", "least", many(F.col("n"), F.col("s")).alias("chunks"))
+    searched = written(keyed.join(open_, "key").select("key", "chunks", "least", "sk", "id", "comp", "size"))
     dropped(keyed)
+    groups = written(components(searched.select(F.col("id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("grp")))
+    alone = searched.select("sk", "id", "comp", "size").distinct().join(groups, "id")
+    shares = alone.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("s")).select("grp", many(F.col("n") / 2, F.col("s") / 2).alias("chunks"))
+    together = alone.join(shares.filter(F.col("chunks") <= most_chunks), "grp").select(F.lit(True).alias("whole"), F.col("grp").alias("key"), "chunks", "sk", "comp")
+    apart = searched.join(groups, "id").join(shares.filter(F.col("chunks") > most_chunks).select("grp"), "grp", "left_semi").select(F.lit(False).alias("whole"), "key", "chunks", "sk", "comp")
+    placed = together.unionByName(apart).withColumn("own", F.pmod(F.xxhash64("sk"), F.col("chunks")).cast("int"))
+    at = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    placed = placed.select("*", F.explode(at).alias("at")).select("whole", "key", "chunks", "sk", "comp", "own", "at.i", "at.j")
+    placed = placed.withColumn("task", F.when(F.col("chunks") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(_tasks(held, task_bytes)))))
+    shipped = placed.join(members.select("sk", "id", "bands", "shingles"), "sk").select("task", "whole", "key", "i", "j", "own", "id", "comp", "bands", "shingles")
+    rest = components(bucket_links(shipped, num, den)).select(F.col("node").alias("c"), F.col("component").alias("joined"))
 
     # a document without a link of its own may still be found in a bucket
     ids = members.select("id").distinct()
-    found = ids.join(first, ids.id == first.node, "left").withColumn("c", F.coalesce("component", "id")).drop("component").join(rest, "c", "left").select(F.col("id").alias("node"), F.coalesce("whole", "c").alias("component"))
+    found = ids.join(first, ids.id == first.node, "left").withColumn("c", F.coalesce("component", "id")).drop("component").join(rest, "c", "left").select(F.col("id").alias("node"), F.coalesce("joined", "c").alias("component"))
     named = classes.join(found, classes.rep == found.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"), "rep", "copies")
     named = named.filter("copies > 1 or component <> rep").select("set_key", "component")
     out = table.select("id", "n_shingles", "set_key").join(named, "set_key", "left")

@@ -15,7 +15,7 @@ from .common import U64, mix64, tidy
 class Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    most = 250_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

@@ -49,12 +49,12 @@ def near_group(n: int, size: int = 80, changes: int = 4) -> list[tuple[int, str]
     return out
 
 
-@pytest.mark.parametrize(("width", "num"), [(3, 85), (5, 80)])
-def test_minhash_against_brute_force(spark, edges, width, num):
+@pytest.mark.parametrize(("width", "num", "most_chunks"), [(3, 85, 16), (5, 80, 16), (3, 85, 1)])
+def test_minhash_against_brute_force(spark, edges, width, num, most_chunks):
     df = edges.unionByName(spark.createDataFrame(near_group(150), "doc_id bigint, text string"), allowMissingColumns=True)
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     sets, want = brute_links(rows, width, num, 100)
-    got = minhash.near_duplicates(df, width=width, num=num, chunk=20).collect()  # small chunks: buckets go in pairs of chunks
+    got = minhash.near_duplicates(df, width=width, num=num, chunk=20, most_chunks=most_chunks).collect()  # groups go in pairs of chunks, or bucket by bucket
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
