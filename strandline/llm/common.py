@@ -53,7 +53,7 @@ def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
         yield batch.slice(at)
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bounds the bytes of an Arrow batch between Spark and Python, unless the session has a bound of
     its own: a batch is held several times on both sides, and long texts would make the default of 64 MB the
     largest thing in memory."""
