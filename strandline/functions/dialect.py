@@ -43,6 +43,7 @@ class Rx:
     to: str = ""
     once: bool = False  # replace the first match only
     re2_source: str | None = field(default=None, repr=False)  # where RE2 lacks a construct
+    holds: str = ""  # lower-case ASCII that every match holds in either case, for a cheap test before
 
     def text(self, engine: str) -> str:
         source = self.re2_source if engine == "re2" and self.re2_source is not None else self.source
@@ -157,6 +158,8 @@ def quoted(s: str) -> str:
 
 
 TRIM = Rx(r"^\s+|\s+$")
+#: the characters of ``\s``
+BLANKS = "".join(chr(c) for s in SPACES for c in (range(s[0], s[1] + 1) if isinstance(s, tuple) else (s,)))
 WHITE = Rx(r"\s+")
 
 
@@ -194,11 +197,12 @@ def any_sql(rules: Iterable[Rx], e: str) -> str:
 
 
 def trim(c: Column) -> Column:
-    return TRIM.replace(c)
+    """What ``TRIM`` does, read from the ends only: the pattern tries every blank inside a text."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def trim_py(s: str) -> str:
-    return TRIM.replace_py(s)
+    return s.strip(BLANKS)
 
 
 def trim_sql(e: str) -> str:

@@ -148,8 +148,8 @@ ACTIONS = (
     Rx(r"^(explain|describe|outline|summarize|list)\s+(the|all|each|every)?\s*", "i"),
     Rx(r"^(break\s+down|look\s+at|go\s+over|go\s+through|dive\s+into|look\s+into)\s+(the\s+|each\s+|every\s+|all\s+)?", "i"),
     Rx(r"^(each\s+country|each\s+option|each\s+one)\s+(in|and|for|with)\s+", "i"),
-    Rx(r"\s+that\s+(will|would|can|could|might|should)\s+.+$", "i"),
-    Rx(r"\s+if\s+you\s+.+$", "i"),
+    Rx(r"(?<!\s)\s+that\s+(will|would|can|could|might|should)\s+.+$", "i", re2_source=r"\s+that\s+(will|would|can|could|might|should)\s+.+$"),
+    Rx(r"(?<!\s)\s+if\s+you\s+.+$", "i", re2_source=r"\s+if\s+you\s+.+$"),
 )
 CONTEXTUAL = Rx(r"\b(number\s+(one|two|three|four|five|six|seven|eight|nine|ten|\d+)|option\s+[a-d]|#\d+)\b\s*", "i")
 GREETING = Rx(r"^(sure|absolutely|of course|great question|good question|certainly|definitely|i'?d be happy to|i can help|happy to help|here'?s|let me|okay|yes)[,!.]?\s*", "i")
@@ -162,14 +162,34 @@ OPENING_PROSE = (
     Rx(r"^(let me\s+(?:provide|give|share|cover|explain|outline|break down)\s+(?:a\s+|an\s+|the\s+)?)", "i"),
 )
 # --- fixed values: comparisons
+_LINE_ENDS, _AT_LINE = r"\n\r\u2028\u2029", r"(?:^|(?<=[\n\r\u2028\u2029]))"
+
+
+def _two_sides(holds: str, between: str, source: str) -> Rx:
+    """``\\b(.+?)<between>(.+)`` in one pass: of the starts in one line the first finds what any of them
+    finds, and blanks before ``between`` are read from their first one."""
+    return Rx(rf"{_AT_LINE}[^A-Za-z0-9_{_LINE_ENDS}]*+([A-Za-z0-9_].*?)(?<=\S)\s++{between}\s+(.+)", "i", re2_source=source, holds=holds)
+
+
+def _sides_after(holds: str, words: str, between: str, source: str) -> Rx:
+    """``\\b<words>\\s+(.+?)\\s+<between>\\s+(.+)`` in one pass (the first side keeps its blanks): of the places of
+    ``words`` in a line the first finds what any finds, but for one whose blanks run into the next line.
+    A first side of one blank is what is left where ``between`` follows at once."""
+    blank = rf"(?![{_LINE_ENDS}])\s"
+    start = rf"\b{words}(?=\s)"
+    inside = rf"\b{words.replace(r'\s+', f'(?:{blank})++')}(?:{blank})++(?![{_LINE_ENDS}])"
+    first = rf"\s++\S.*?(?<=\S)\s++(?={between}\s)|(?=\s++{between}\s+.)\s+{blank}\s++"
+    return Rx(rf"(?:{_AT_LINE}(?>.*?{start})|(?!{inside}){start})({first}){between}\s+(.+)", "i", re2_source=source, holds=holds)
+
+
 COMPARISONS = (
-    Rx(r"\b(.+?)\s+vs\.?\s+(.+)", "i"),
-    Rx(r"\b(.+?)\s+versus\s+(.+)", "i"),
-    Rx(r"\bdifference(?:s)?\s+between\s+(.+?)\s+and\s+(.+)", "i"),
-    Rx(r"\bbenefits\s+of\s+(.+?)\s+and\s+(.+)", "i"),
-    Rx(r"\bcompare\s+(.+?)\s+(?:and|with|to)\s+(.+)", "i"),
-    Rx(r"\b(.+?)\s+(?:compared\s+to|compared\s+with)\s+(.+)", "i"),
-    Rx(r"\bpros\s+and\s+cons\s+of\s+(.+?)\s+(?:and|vs\.?|versus)\s+(.+)", "i"),
+    _two_sides("vs", r"vs\.?", r"\b(.+?)\s+vs\.?\s+(.+)"),
+    _two_sides("versus", "versus", r"\b(.+?)\s+versus\s+(.+)"),
+    _sides_after("between", r"difference(?:s)?\s+between", "and", r"\bdifference(?:s)?\s+between\s+(.+?)\s+and\s+(.+)"),
+    _sides_after("benefits", r"benefits\s+of", "and", r"\bbenefits\s+of\s+(.+?)\s+and\s+(.+)"),
+    _sides_after("compare", "compare", "(?:and|with|to)", r"\bcompare\s+(.+?)\s+(?:and|with|to)\s+(.+)"),
+    _two_sides("compared", r"(?:compared\s+to|compared\s+with)", r"\b(.+?)\s+(?:compared\s+to|compared\s+with)\s+(.+)"),
+    _sides_after("pros", r"pros\s+and\s+cons\s+of", r"(?:and|vs\.?|versus)", r"\bpros\s+and\s+cons\s+of\s+(.+?)\s+(?:and|vs\.?|versus)\s+(.+)"),
 )
 TITLE_MOST = 72
 
@@ -300,7 +320,7 @@ Example output for a 2-segment conversation:
 
 # --- fixed values: patterns of titles
 NUMBERED_ITEM = Rx(r"^\d+[,;:]\s*")
-EACH_ONE = Rx(r",?\s*one\s+for\s+(each|every)\s*", "i", to=" ")
+EACH_ONE = Rx(r"(?:,\s*|(?<!\s)\s+)?one\s+for\s+(each|every)\s*", "i", re2_source=r",?\s*one\s+for\s+(each|every)\s*", to=" ")
 ARTICLE = Rx(r"^(the|a|an|our|my|your)\s+", "i")
 TITLE_HEADING = Rx(r"^(#{2,4})\s+(.+)")
 BOLD_LINE = Rx(r"^\*\*([^*]{3,60})\*\*$")
