@@ -43,7 +43,7 @@ class Rx:
     to: str = ""
     once: bool = False  # replace the first match only
     re2_source: str | None = field(default=None, repr=False)  # where RE2 lacks a construct
-    holds: str = ""  # lower-case ASCII that every match holds in either case, for a cheap test before
+    holds: tuple[str, ...] = ()  # lower-case ASCII of which every match holds one in either case, for a cheap test before
 
     def text(self, engine: str) -> str:
         source = self.re2_source if engine == "re2" and self.re2_source is not None else self.source

@@ -78,20 +78,20 @@ LIST_MARK = Rx(r"^\s*[-*+]\s+|^\s*\d+[.)]\s+", "m")
 
 # --- fixed values: domain tags (tag, least matches, pattern)
 DOMAIN_TAGS = (
-    ("coding", 2, Rx(r"\b(python|javascript|typescript|java(?!script)\b|rust|golang|ruby|swift|kotlin|php|csharp|c\+\+)\b", "i", re2_source=r"\b(python|javascript|typescript|java\b|rust|golang|ruby|swift|kotlin|php|csharp|c\+\+)\b")),
-    ("coding/python", 2, Rx(r"\bpython\b", "i")),
-    ("coding/javascript", 2, Rx(r"\b(javascript|typescript)\b", "i")),
-    ("database", 2, Rx(r"\b(sql|postgres|mysql|sqlite|mongodb|database\s+(schema|design|query))\b", "i")),
-    ("web", 2, Rx(r"\b(api\s+(endpoint|call|key)|rest\s*api|graphql|webhook|http\s+(request|response))\b", "i")),
-    ("design", 2, Rx(r"\b(figma|wireframe|prototype|ui\s*\/?\s*ux|user\s+interface|mockup|responsive\s+design)\b", "i")),
-    ("writing", 2, Rx(r"\b(essay|blog\s+post|proofread(ing)?|copywriting|thesis|dissertation|write\s+(a|an|my)\s+(blog|article|essay))\b", "i")),
-    ("coding", 3, Rx(r"\b(function\s*\(|class\s+\w+\s*\{|import\s+\{|export\s+(default|const|function)|const\s+\w+\s*=|console\.log|stack\s*trace|compiler|runtime\s+error)\b", "i")),
-    ("real-estate", 2, Rx(r"\b(real\s*estate|property|mortgage|housing|rent(al)?|landlord|lease|condo|apartment)\b", "i")),
-    ("finance", 2, Rx(r"\b(invest(ment|ing)?|portfolio|stock|crypto|dividend|roi|capital\s+gain)\b", "i")),
-    ("immigration", 2, Rx(r"\b(citizenship|passport|visa|immigra(tion|te)|residency|green\s*card|work\s*permit)\b", "i")),
-    ("travel", 2, Rx(r"\b(travel|flight|hotel|airbnb|destination|itinerary|vacation|trip)\b", "i")),
-    ("health", 2, Rx(r"\b(health(care)?|medical|doctor|hospital|insurance|wellness|therapy)\b", "i")),
-    ("ai-ml", 2, Rx(r"\b(machine\s*learning|neural\s*network|deep\s*learning|nlp|transformer|gpt|llm|fine[\s-]*tun(e|ing))\b", "i")),
+    ("coding", 2, Rx(r"\b(python|javascript|typescript|java(?!script)\b|rust|golang|ruby|swift|kotlin|php|csharp|c\+\+)\b", "i", re2_source=r"\b(python|javascript|typescript|java\b|rust|golang|ruby|swift|kotlin|php|csharp|c\+\+)\b", holds=tuple("python java typescript rust golang ruby swift kotlin php csharp c++".split()))),
+    ("coding/python", 2, Rx(r"\bpython\b", "i", holds=tuple("python".split()))),
+    ("coding/javascript", 2, Rx(r"\b(javascript|typescript)\b", "i", holds=tuple("javascript typescript".split()))),
+    ("database", 2, Rx(r"\b(sql|postgres|mysql|sqlite|mongodb|database\s+(schema|design|query))\b", "i", holds=tuple("sql postgres mongodb database".split()))),
+    ("web", 2, Rx(r"\b(api\s+(endpoint|call|key)|rest\s*api|graphql|webhook|http\s+(request|response))\b", "i", holds=tuple("api graphql webhook http".split()))),
+    ("design", 2, Rx(r"\b(figma|wireframe|prototype|ui\s*\/?\s*ux|user\s+interface|mockup|responsive\s+design)\b", "i", holds=tuple("figma wireframe prototype ux interface mockup responsive".split()))),
+    ("writing", 2, Rx(r"\b(essay|blog\s+post|proofread(ing)?|copywriting|thesis|dissertation|write\s+(a|an|my)\s+(blog|article|essay))\b", "i", holds=tuple("essay blog proofread copywriting thesis dissertation article".split()))),
+    ("coding", 3, Rx(r"\b(function\s*\(|class\s+\w+\s*\{|import\s+\{|export\s+(default|const|function)|const\s+\w+\s*=|console\.log|stack\s*trace|compiler|runtime\s+error)\b", "i", holds=tuple("function class import export const console.log trace compiler runtime".split()))),
+    ("real-estate", 2, Rx(r"\b(real\s*estate|property|mortgage|housing|rent(al)?|landlord|lease|condo|apartment)\b", "i", holds=tuple("estate property mortgage housing rent landlord lease condo apartment".split()))),
+    ("finance", 2, Rx(r"\b(invest(ment|ing)?|portfolio|stock|crypto|dividend|roi|capital\s+gain)\b", "i", holds=tuple("invest portfolio stock crypto dividend roi capital".split()))),
+    ("immigration", 2, Rx(r"\b(citizenship|passport|visa|immigra(tion|te)|residency|green\s*card|work\s*permit)\b", "i", holds=tuple("citizenship passport visa immigra residency card permit".split()))),
+    ("travel", 2, Rx(r"\b(travel|flight|hotel|airbnb|destination|itinerary|vacation|trip)\b", "i", holds=tuple("travel flight hotel airbnb destination itinerary vacation trip".split()))),
+    ("health", 2, Rx(r"\b(health(care)?|medical|doctor|hospital|insurance|wellness|therapy)\b", "i", holds=tuple("health medical doctor hospital insurance wellness therapy".split()))),
+    ("ai-ml", 2, Rx(r"\b(machine\s*learning|neural\s*network|deep\s*learning|nlp|transformer|gpt|llm|fine[\s-]*tun(e|ing))\b", "i", holds=tuple("machine neural deep nlp transformer gpt llm tun".split()))),
 )
 MOST_TAGS = 5
 
@@ -168,7 +168,7 @@ _LINE_ENDS, _AT_LINE = r"\n\r\u2028\u2029", r"(?:^|(?<=[\n\r\u2028\u2029]))"
 def _two_sides(holds: str, between: str, source: str) -> Rx:
     """``\\b(.+?)<between>(.+)`` in one pass: of the starts in one line the first finds what any of them
     finds, and blanks before ``between`` are read from their first one."""
-    return Rx(rf"{_AT_LINE}[^A-Za-z0-9_{_LINE_ENDS}]*+([A-Za-z0-9_].*?)(?<=\S)\s++{between}\s+(.+)", "i", re2_source=source, holds=holds)
+    return Rx(rf"{_AT_LINE}[^A-Za-z0-9_{_LINE_ENDS}]*+([A-Za-z0-9_].*?)(?<=\S)\s++{between}\s+(.+)", "i", re2_source=source, holds=(holds,))
 
 
 def _sides_after(holds: str, words: str, between: str, source: str) -> Rx:
@@ -179,7 +179,7 @@ def _sides_after(holds: str, words: str, between: str, source: str) -> Rx:
     start = rf"\b{words}(?=\s)"
     inside = rf"\b{words.replace(r'\s+', f'(?:{blank})++')}(?:{blank})++(?![{_LINE_ENDS}])"
     first = rf"\s++\S.*?(?<=\S)\s++(?={between}\s)|(?=\s++{between}\s+.)\s+{blank}\s++"
-    return Rx(rf"(?:{_AT_LINE}(?>.*?{start})|(?!{inside}){start})({first}){between}\s+(.+)", "i", re2_source=source, holds=holds)
+    return Rx(rf"(?:{_AT_LINE}(?>.*?{start})|(?!{inside}){start})({first}){between}\s+(.+)", "i", re2_source=source, holds=(holds,))
 
 
 COMPARISONS = (

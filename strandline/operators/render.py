@@ -182,7 +182,7 @@ def described_segments(messages: DataFrame, settings: Settings) -> DataFrame:
     text = F.when(F.col("doc"), body("plain")).otherwise(body(settings.speaker_style)) if "content_type" in messages.columns else body(settings.speaker_style)
     plain = F.transform("all", lambda m: F.struct(m["index"].alias("index"), m["role"].alias("role"), m["text"].alias("text")))
     groups = groups.select("conv_id", "seg_no", plain.alias("messages"), F.size("all").cast("long").alias("n_messages"), first("user").alias("first_user"), first("assistant").alias("first_assistant"), F.transform(urls, T.url_link).alias("links"), text.alias("body"))
-    return titles.described_groups(groups)
+    return titles.described_groups(groups, (*titles.LISTS, "weights"))
 
 
 def notes(messages: DataFrame, conversations: DataFrame, settings: Settings, summary) -> DataFrame:
@@ -196,7 +196,7 @@ def notes(messages: DataFrame, conversations: DataFrame, settings: Settings, sum
     date = F.coalesce(utc_date(F.col("created_at")), lit(settings.date)) if "created_at" in conversations.columns else lit(settings.date)
     c = conversations.select("conv_id", F.col("title").alias("conv_title"), "source", (F.col("content_type") == "document").alias("is_doc"), date.alias("conv_date"))
     date = F.col("conv_date")
-    names = titles.described(messages.select("conv_id", "index", "role", "text"), ["conv_id"], ("entities",)).select("conv_id", F.array_join(F.slice("entities", 1, 3), " ").alias("about"))
+    names = titles.entities_of_parts(segs, "conv_id", "seg_no").select("conv_id", F.array_join(F.slice("entities", 1, 3), " ").alias("about"))
     c = c.join(names, "conv_id").withColumn("index_topic", F.when(F.col("about") == "", "Index").otherwise(F.concat(F.col("about"), lit(" Index"))))
     total = segs.groupBy("conv_id").agg(F.count("*").alias("total"))
     base = {"date": date, "conversation_title": F.col("conv_title"), "source": F.col("source"), "segment_total": F.col("total").cast("string")}

@@ -80,7 +80,7 @@ scalar("speaker_pattern", _markdown_speaker, lambda e: "CASE " + " ".join(f"WHEN
 def _comparison(c: Column) -> Column:
     def sides(x: Column) -> Column:
         line = x["line"]
-        return F.coalesce(*[F.when(x["low"].contains(p.holds) & p.test(line), F.concat_ws(" vs ", trim(p.find(line, 1)), trim(p.find(line, 2)))) for p in R.COMPARISONS])
+        return F.coalesce(*[F.when(x["low"].contains(p.holds[0]) & p.test(line), F.concat_ws(" vs ", trim(p.find(line, 1)), trim(p.find(line, 2)))) for p in R.COMPARISONS])
 
     # as elements of arrays the line and its lower case are made once, and not again for every use
     line = F.array(T.first_line(T.strip_markdown(trim(c))))
