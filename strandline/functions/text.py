@@ -9,7 +9,8 @@ from . import rules as R
 from .dialect import Rx, any_of, any_sql, quoted, spaces, steps, steps_sql, trim, trim_sql
 
 TOKEN_CUT = {e: f"[{spaces(e)}\\p{{P}}]+" for e in ("java", "re2")}
-WORD_CUT = {e: f"[{spaces(e)}]+" for e in ("java", "re2")}
+#: for Java two wide ranges are tested first, which most characters fail
+WORD_CUT = {"java": f"[\\t-\\r \\u00a0\\u1680-\\ufeff&&[{spaces('java')}]]+", "re2": f"[{spaces('re2')}]+"}
 
 
 def squash(text: str) -> str:

@@ -85,7 +85,8 @@ def shown_message(get, columns: list[str], style: str, threshold: int = 800, sta
         blocks = F.from_json(get("blocks"), f"array<{BLOCK}>")
         content = F.when(F.size(blocks) > 0, render_blocks(blocks, style)).otherwise(content)
         thinking = F.transform(F.filter(F.coalesce(blocks, F.array().cast(f"array<{BLOCK}>")), lambda b: b["type"] == "thinking"), lambda b: b["content"])
-    return render_message(get("role"), content, style, T.word_count(get("text")), get("ts") if stamps and "ts" in columns else None, thinking, threshold)
+    n_words = get("n_words") if "n_words" in columns else T.word_count(get("text"))
+    return render_message(get("role"), content, style, n_words, get("ts") if stamps and "ts" in columns else None, thinking, threshold)
 
 
 def message_text(messages: DataFrame, keys: list[str], style: str, threshold: int = 800, stamps: bool = False) -> DataFrame:
@@ -172,7 +173,7 @@ def index_body(conv_title: Column, source: str, date: Column) -> list[Column]:
 def described_segments(messages: DataFrame, settings: Settings) -> DataFrame:
     """Everything a note shows of its segment, from one gathering of the segment's messages."""
     rows = S.assigned(messages, S.segments(messages, settings.granularity))
-    extra = [c for c in ("ts", "blocks") if c in messages.columns]
+    extra = [c for c in ("ts", "blocks", "n_words") if c in messages.columns]
     is_doc = F.coalesce(F.max(F.col("content_type") == "document"), F.lit(False)) if "content_type" in messages.columns else F.lit(False)
     groups = titles.spread(rows, "conv_id").groupBy("conv_id", "seg_no").agg(F.array_sort(F.collect_list(F.struct("index", "role", "text", *extra))).alias("all"), is_doc.alias("doc"))
     first = lambda role: F.get(F.filter("all", lambda m: m["role"] == role), 0)["text"]
@@ -188,8 +189,8 @@ def described_segments(messages: DataFrame, settings: Settings) -> DataFrame:
 def notes(messages: DataFrame, conversations: DataFrame, settings: Settings, summary) -> DataFrame:
     """path, filename, content, conv_id, seg_no, is_index for (conv_id, title, source, content_type).
 
-    Messages may have ``ts`` (for gaps and time labels), ``blocks`` and ``content_type`` (document: its own
-    weights, plain style); conversations may have ``created_at`` (epoch seconds), their date.  Every note
+    Messages may have ``ts`` (for gaps and time labels), ``blocks``, ``content_type`` (document: its own
+    weights, plain style) and ``n_words`` (their number, counted once for all uses); conversations may have ``created_at`` (epoch seconds), their date.  Every note
     links both its neighbours in front matter and footer."""
     segs = described_segments(messages, settings)
     segs = cut(segs.withColumn("summary", summary(F.col("first_user"), F.col("first_assistant"))))

@@ -52,8 +52,10 @@ def _confidences(cuts: pd.Series, index: pd.Series, score: pd.Series) -> pd.Seri
 
 
 def conversation_arrays(messages: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per conversation: n, words (prefix sums from 0), has_user and cands (best first)."""
-    upto = F.sum(T.word_count(F.col("text"))).over(signals.by_turn().rowsBetween(Window.unboundedPreceding, 0))
+    """Per conversation: n, words (prefix sums from 0), has_user and cands (best first).  Messages may have
+    their ``n_words``."""
+    n_words = F.col("n_words") if "n_words" in messages.columns else T.word_count(F.col("text"))
+    upto = F.sum(n_words).over(signals.by_turn().rowsBetween(Window.unboundedPreceding, 0))
     counted = messages.select("conv_id", "index", "role", upto.cast("int").alias("upto")).groupBy("conv_id").agg(
         F.count("*").cast("int").alias("n"),
         F.max(F.col("role") == "user").alias("has_user"),

@@ -145,7 +145,7 @@ def imported(inputs: DataFrame, settings: Settings) -> DataFrame:
     first = parsed.groupBy("conv_id").agg(F.min(F.struct("input_id", "conv_no")).alias("of"))
     parsed = parsed.join(first, "conv_id").filter(F.struct("input_id", "conv_no") == F.col("of"))
     stamp = F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")).alias("ts")
-    msgs = cut(parsed.select("conv_id", "of", "title", "source", "content_type", "created_at", "index", "role", "text", stamp, "blocks"))
+    msgs = cut(parsed.select("conv_id", "of", "title", "source", "content_type", "created_at", "index", "role", "text", stamp, "blocks", T.word_count(F.col("text")).alias("n_words")))
     convs = cut(msgs.groupBy("conv_id").agg(*[F.first(c).alias(c) for c in ("of", "title", "source", "content_type", "created_at")]))
     made = cut(render.notes(msgs, convs, settings, segment_summary).join(convs.select("conv_id", "of"), "conv_id"))
     keyed = made.withColumn("ord", F.struct("of", F.coalesce("seg_no", F.lit(1 << 30)).alias("seg"), "is_index"))
