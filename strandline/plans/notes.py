@@ -11,7 +11,7 @@ from ..functions.dialect import quoted
 from ..operators import render
 from ..sources import sink
 from ..sources.parse import parsed_messages
-from ..sources.shared import cut, scratch
+from ..sources.shared import cut, cut_alone, scratch
 from ..operators.paths import resolved
 from .documents import _docs, segment_summary
 from .fixtures import MESSAGES_SQL, TEXTS_SQL, inline, inline_sql, messages, texts
@@ -141,16 +141,23 @@ def imported(inputs: DataFrame, settings: Settings) -> DataFrame:
     """Raw inputs (input_id, content, override) to notes: parsed, segmented (documents by their own
     weights), rendered with time labels, paths made distinct.  Of inputs with one conversation id the
     first is imported."""
-    parsed = cut(parsed_messages(inputs))
-    first = parsed.groupBy("conv_id").agg(F.min(F.struct("input_id", "conv_no")).alias("of"))
-    parsed = parsed.join(first, "conv_id").filter(F.struct("input_id", "conv_no") == F.col("of"))
-    stamp = F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")).alias("ts")
-    msgs = cut(parsed.select("conv_id", "of", "title", "source", "content_type", "created_at", "index", "role", "text", stamp, "blocks", T.word_count(F.col("text")).alias("n_words")))
+
+    def firsts() -> DataFrame:
+        parsed = cut(parsed_messages(inputs, whole_blocks=False).select("input_id", "conv_no", "conv_id", "title", "source", "content_type", "created_at", "index", "role", "text", "ts", "blocks"))
+        first = parsed.groupBy("conv_id").agg(F.min(F.struct("input_id", "conv_no")).alias("of"))
+        found = parsed.join(first, "conv_id").filter(F.struct("input_id", "conv_no") == F.col("of"))
+        stamp = F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")).alias("ts")
+        return found.select("conv_id", "of", "title", "source", "content_type", "created_at", "index", "role", "text", stamp, "blocks", T.word_count(F.col("text")).alias("n_words"))
+
+    msgs = cut_alone(firsts)
     convs = cut(msgs.groupBy("conv_id").agg(*[F.first(c).alias(c) for c in ("of", "title", "source", "content_type", "created_at")]))
-    made = cut(render.notes(msgs, convs, settings, segment_summary).join(convs.select("conv_id", "of"), "conv_id"))
-    keyed = made.withColumn("ord", F.struct("of", F.coalesce("seg_no", F.lit(1 << 30)).alias("seg"), "is_index"))
-    paths = resolved(keyed.select("ord", "path"), made.select("path").limit(0))
-    return keyed.join(paths, "ord").select("conv_id", "seg_no", "is_index", F.col("final").alias("path"), "content")
+    made = cut_alone(lambda: render.notes(msgs, convs, settings, segment_summary))
+    # paths are made distinct beside the contents, which move once
+    key = ["conv_id", "seg", "is_index"]
+    keyed = made.select("conv_id", F.coalesce("seg_no", F.lit(1 << 30)).alias("seg"), "is_index", "path").join(convs.select("conv_id", "of"), "conv_id")
+    keyed = cut(keyed.withColumn("ord", F.struct("of", "seg", "is_index")))
+    paths = keyed.join(resolved(keyed.select("ord", "path"), made.select("path").limit(0)), "ord").select(*key, "final")
+    return made.withColumn("seg", F.coalesce("seg_no", F.lit(1 << 30))).join(paths, key).select("conv_id", "seg_no", "is_index", F.col("final").alias("path"), "content")
 
 
 def import_notes(spark, sf: str) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+_here = threading.local()  # ``on_the_way``: paths of the tables cut within ``cut_alone``
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -30,14 +33,33 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: what several branches of a plan
     need is computed once, and survives the loss of executors."""
     path = scratch(df.sparkSession, uuid.uuid4().hex)
+    if (on_the_way := getattr(_here, "on_the_way", None)) is not None:
+        on_the_way.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, cut; the tables that it cut on the way are needed no more and go."""
+    outer, _here.on_the_way = getattr(_here, "on_the_way", None), []
+    try:
+        df = make()
+        gone, _here.on_the_way = _here.on_the_way, outer
+        out = cut(df)
+    finally:
+        _here.on_the_way = outer
+    _delete(df.sparkSession, gone)
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in map(where, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _sweep(spark: SparkSession) -> None:
     try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for path in map(where, _made):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made)
     except Exception:  # the session may be gone at exit; the folders are the application's own
         return

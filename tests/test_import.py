@@ -121,3 +121,32 @@ def test_blocks_are_shown(spark):
     rows = spark.createDataFrame([(1, 0, "assistant", "see\nx = 1", json.dumps(blocks))], "conv_id bigint, index int, role string, text string, blocks string")
     body = render.message_text(rows, ["conv_id"], "callouts").first().body
     assert body == "> [!thinking]- Thinking\n> hm\n\n> [!assistant] Assistant\n> see\n> \n> ```py\n> x = 1\n> ```"
+
+
+def test_tables_cut_on_the_way_go(spark):
+    import os
+
+    from strandline.sources import shared
+
+    paths = []
+
+    def make():
+        inner = shared.cut(spark.range(5).selectExpr("id"))
+        paths.append(shared._made[-1])
+        return inner.selectExpr("id * 2 AS id")
+
+    out = shared.cut_alone(make)
+    assert sorted(r.id for r in out.collect()) == [0, 2, 4, 6, 8]
+    assert not os.path.exists(paths[0].removeprefix("file://")) and shared._here.on_the_way is None
+    shared.cut(spark.range(1))
+    assert sorted(r.id for r in out.collect()) == [0, 2, 4, 6, 8]
+
+
+def test_blocks_that_only_repeat_the_text_are_left_out(spark):
+    from strandline.sources.parse import parsed_messages
+
+    rows = [(1, "just text", None), (2, "with code\n```py\nx = 1\n```\nafter", None)]
+    inputs = spark.createDataFrame(rows, "input_id bigint, content string, override string")
+    blocks = {r.input_id: r.blocks for r in parsed_messages(inputs, whole_blocks=False).collect()}
+    whole = {r.input_id: r.blocks for r in parsed_messages(inputs).collect()}
+    assert blocks == {1: None, 2: whole[2]} and whole[1] is not None
