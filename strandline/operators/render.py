@@ -172,10 +172,10 @@ def index_body(conv_title: Column, source: str, date: Column) -> list[Column]:
 
 def described_segments(messages: DataFrame, settings: Settings) -> DataFrame:
     """Everything a note shows of its segment, from one gathering of the segment's messages."""
-    rows = S.assigned(messages, S.segments(messages, settings.granularity))
+    rows = S.assigned(messages, S.segments(messages, settings.granularity), lambda both: titles.spread(both, "conv_id"))
     extra = [c for c in ("ts", "blocks", "n_words") if c in messages.columns]
     is_doc = F.coalesce(F.max(F.col("content_type") == "document"), F.lit(False)) if "content_type" in messages.columns else F.lit(False)
-    groups = titles.spread(rows, "conv_id").groupBy("conv_id", "seg_no").agg(F.array_sort(F.collect_list(F.struct("index", "role", "text", *extra))).alias("all"), is_doc.alias("doc"))
+    groups = rows.groupBy("conv_id", "seg_no").agg(F.array_sort(F.collect_list(F.struct("index", "role", "text", *extra))).alias("all"), is_doc.alias("doc"))
     first = lambda role: F.get(F.filter("all", lambda m: m["role"] == role), 0)["text"]
     urls = F.array_distinct(F.transform(F.flatten(F.transform("all", lambda m: T.links(m["text"]))), T.clean_url))
     shown = F.filter("all", lambda m: ~m["role"].isin("system", "tool"))

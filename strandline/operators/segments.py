@@ -8,6 +8,7 @@ batches: accepted starts are kept sorted and found by bisection, prefix sums mak
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -99,11 +100,13 @@ def segments(messages: DataFrame, granularity: str = "fine", weights: dict[str,
     return out.select("conv_id", (F.col("pos") + 1).alias("seg_no"), F.col("x.a").alias("start_index"), (F.col("x.b") - 1).alias("end_index"), F.col("x.c").alias("confidence"))
 
 
-def assigned(messages: DataFrame, segs: DataFrame) -> DataFrame:
-    """Messages with their seg_no: starts are flagged, a running sum numbers them."""
-    starts = segs.select("conv_id", F.col("start_index").alias("index"), F.lit(1).alias("flag"))
-    flagged = messages.join(starts, ["conv_id", "index"], "left")
-    return flagged.withColumn("seg_no", F.sum(F.coalesce("flag", F.lit(0))).over(signals.by_turn().rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("flag")
+def assigned(messages: DataFrame, segs: DataFrame, deal: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Messages with their seg_no: starts go before their messages as rows of their own and a running sum
+    numbers them, so texts are shuffled once, by conversation (or dealt by ``deal``, by conversation too)."""
+    starts = segs.select("conv_id", F.col("start_index").cast(messages.schema["index"].dataType).alias("index"), F.lit(1).alias("flag"))
+    both = deal(messages.withColumn("flag", F.lit(0)).unionByName(starts, allowMissingColumns=True))
+    order = Window.partitionBy("conv_id").orderBy("index", F.col("flag").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("seg_no", F.sum("flag").over(order).cast("int")).filter("flag = 0").drop("flag")
 
 
 # --- edits: each returns a new table

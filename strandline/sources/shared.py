@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import threading
 import uuid
@@ -40,7 +41,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_alone(make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, cut; the tables that it cut on the way are needed no more and go."""
+    """What ``make`` gives, cut; the tables that it cut on the way are needed no more and go, and so do
+    their shuffle files, which Spark only removes when the driver collects its garbage."""
     outer, _here.on_the_way = getattr(_here, "on_the_way", None), []
     try:
         df = make()
@@ -48,7 +50,10 @@ def cut_alone(make: Callable[[], DataFrame]) -> DataFrame:
         out = cut(df)
     finally:
         _here.on_the_way = outer
-    _delete(df.sparkSession, gone)
+    _delete(spark := df.sparkSession, gone)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 

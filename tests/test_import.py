@@ -150,3 +150,16 @@ def test_blocks_that_only_repeat_the_text_are_left_out(spark):
     blocks = {r.input_id: r.blocks for r in parsed_messages(inputs, whole_blocks=False).collect()}
     whole = {r.input_id: r.blocks for r in parsed_messages(inputs).collect()}
     assert blocks == {1: None, 2: whole[2]} and whole[1] is not None
+
+
+def test_texts_meet_their_segments_in_one_shuffle(spark):
+    import re
+
+    from strandline.operators import segments, titles
+
+    rows = [(c, i, "user", f"t{c}-{i}") for c in range(5) for i in range(6)]
+    messages = spark.createDataFrame(rows, "conv_id bigint, index int, role string, text string")
+    segs = spark.createDataFrame([(c, k + 1, s) for c in range(5) for k, s in enumerate((0, 2 + c % 2))], "conv_id bigint, seg_no int, start_index int")
+    out = segments.assigned(messages, segs, lambda both: titles.spread(both, "conv_id"))
+    assert {(r.conv_id, r.index, r.text, r.seg_no) for r in out.collect()} == {(c, i, t, 1 + (i >= 2 + c % 2)) for c, i, _, t in rows}
+    assert len(re.findall("Exchange hashpartitioning", out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString())) <= 2
