@@ -86,11 +86,15 @@ def fallback(chosen: DataFrame, least_messages: int) -> DataFrame:
 
 
 def segments(messages: DataFrame, granularity: str = "fine", weights: dict[str, float] | None = None) -> DataFrame:
-    """conv_id, seg_no (from 1), start_index, end_index, confidence."""
+    """conv_id, seg_no (from 1), start_index, end_index, confidence.  Messages may have ``scored``: whether
+    their conversation may have candidates."""
     threshold, least_messages, least_words = R.GRANULARITY[granularity]
     # a conversation without candidates (most documents) has no terms to count, and its texts stay where they are
-    several = signals.candidates(messages).select("conv_id").distinct()
-    arrays = conversation_arrays(messages, signals.boundary_scores(messages.join(several, "conv_id", "left_semi"), weights))
+    if "scored" in messages.columns:
+        several = messages.filter("scored")
+    else:
+        several = messages.join(signals.candidates(messages).select("conv_id").distinct(), "conv_id", "left_semi")
+    arrays = conversation_arrays(messages, signals.boundary_scores(several, weights))
     out = fallback(greedy(arrays, threshold, least_messages, least_words), least_messages)
     cuts = F.when((F.col("n") < 2) | ~F.col("has_user"), F.array(F.lit(0), F.col("n"))).otherwise(F.col("final"))
     out = out.withColumn("cuts", cuts)

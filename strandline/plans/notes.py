@@ -144,10 +144,10 @@ def imported(inputs: DataFrame, settings: Settings) -> DataFrame:
 
     def firsts() -> DataFrame:
         parsed = cut(parsed_messages(inputs, whole_blocks=False).select("input_id", "conv_no", "conv_id", "title", "source", "content_type", "created_at", "index", "role", "text", "ts", "blocks"))
-        first = parsed.groupBy("conv_id").agg(F.min(F.struct("input_id", "conv_no")).alias("of"))
+        first = parsed.groupBy("conv_id").agg(F.min(F.struct("input_id", "conv_no")).alias("of"), F.max((F.col("index") >= 1) & (F.col("role") == "user")).alias("scored"))
         found = parsed.join(first, "conv_id").filter(F.struct("input_id", "conv_no") == F.col("of"))
         stamp = F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")).alias("ts")
-        return found.select("conv_id", "of", "title", "source", "content_type", "created_at", "index", "role", "text", stamp, "blocks", T.word_count(F.col("text")).alias("n_words"))
+        return found.select("conv_id", "of", "title", "source", "content_type", "created_at", "index", "role", "text", stamp, "blocks", T.word_count(F.col("text")).alias("n_words"), "scored")
 
     msgs = cut_alone(firsts)
     convs = cut(msgs.groupBy("conv_id").agg(*[F.first(c).alias(c) for c in ("of", "title", "source", "content_type", "created_at")]))
